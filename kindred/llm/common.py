@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ASCII_WHITE = b" \t\n\x0b\x0c\r"
+from ..shipping import ensure_shipped
+
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes(range(0x61, 0x7B))
 
@@ -84,6 +85,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_pandas(df: DataFrame, run, schema: str) -> DataFrame:
+    ensure_shipped(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
+def group_pandas(df: DataFrame, key: str, run, schema: str) -> DataFrame:
+    ensure_shipped(df.sparkSession)
+    return df.groupBy(key).applyInPandas(run, schema)
+
+
 def sub_batches(batches, size_of, limit: int = 8 << 20):
     """Splits pandas batches so that none holds much over ``limit`` bytes.
 

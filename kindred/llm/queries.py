@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup
+from . import chat_format, decontaminate, exact_dedup, license_scan, packing, quality, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +21,52 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_license_scan": op6_license_scan,
+    "op7_quality": op7_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PHRASES = ", ".join(
+    f"('{t.label}', {str(t.base).lower()}, {k}, '{p}')" for k, (t, p) in enumerate((t, p) for t in license_scan.TEMPLATES for p in t.phrases)
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
 with n as (
@@ -49,4 +91,51 @@ with t as (
 )
 select conv_id, n n_turns, n_copies, chat from e
 where not exists (select 1 from c d where d.n > e.n and d.m[1] = e.m[1] and list_slice(d.m, 1, e.n) = e.m)""",
+    "op5_decontaminate": f"""
+with d as (select doc_id, {_WORDS} w from documents),
+b as (select item_id, {_WORDS} w from benchmark),
+bw as (
+  select distinct item_id, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') win, least(len(w), 10) k
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) i from b where len(w) > 0)
+),
+dw as (
+  select doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') win
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) p from d, (select distinct k from bw) where len(w) >= k)
+),
+m as (select doc_id, item_id, dw.k, p from dw join bw on dw.win = bw.win and dw.k = bw.k),
+h as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + k)) q from m) group by 1),
+it as (
+  select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) items
+  from (select distinct doc_id, cast(item_id as varchar) item_id from m) group by 1
+)
+select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+       sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join h using (doc_id) left join it using (doc_id)""",
+    "op6_license_scan": f"""
+with d as (select doc_id, {_WORDS} w from documents),
+tok as (select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 pos from d),
+ph(label, base, k, phrase) as (values {_PHRASES}),
+pw as (select k, unnest(string_split(phrase, ' ')) word, generate_subscripts(string_split(phrase, ' '), 1) - 1 off from ph),
+hit as (select doc_id, word, pos from tok where word in (select word from pw)),
+df as (select word, count(distinct doc_id) n from hit group by 1),
+wt as (select pw.*, ln((1 + (select count(*) from documents)) / (1 + coalesce(n, 0))) + 1 weight, coalesce(n, 0) n from pw left join df using (word)),
+rk as (select *, row_number() over (partition by k order by n, off) <= 3 rare from wt),
+sz as (select k, count(*) long, count(*) filter (rare) short, sum(weight) filter (rare) / sum(weight) share from rk group by 1),
+st as (select doc_id, k, pos - off s, count(*) n, count(*) filter (rare) nr from hit join rk using (word) where pos >= off group by all),
+al as (select st.*, n = long verified, share from st join sz using (k) where nr = short),
+lab as (
+  select doc_id, label, base, count(distinct k) filter (verified) = min(parts) ok
+  from al join ph using (k) join (select label, base, count(*) parts from ph group by 1, 2) using (label, base) group by 1, 2, 3
+),
+ls as (
+  select doc_id, string_agg(distinct label, ',' order by label) filter (ok and base) base_labels, string_agg(distinct label, ',' order by label) filter (ok) labels, bool_or(ok) any_ok
+  from lab group by 1
+),
+pl as (
+  select doc_id, count(*) filter (verified and base) n_base, min(s) filter (verified and base) first_word, max(s) filter (verified and base) last_word, max(share) share
+  from al join ph using (k) group by 1
+)
+select d.doc_id, len(w) n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels,
+       case when any_ok then 1.0 else coalesce(0.5 * share, 0.0) end::double score
+from d left join pl using (doc_id) left join ls using (doc_id)""",
 }
