@@ -264,8 +264,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which at most this share of words is benchmark text."""
-    bad = decontaminate(docs, benchmark, id_col, text_col).filter(F.col("n_hit") > max_hit_share * F.col("n_words")).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad.distinct(), docs[id_col].cast("long") == F.col("_bad"), "left_anti")
+    bad = decontaminate(docs, benchmark, id_col, text_col).filter(F.col("n_hit") > max_hit_share * F.col("n_words")).select(F.col("doc_id").alias("__bad"))
+    return docs.join(bad.distinct(), docs[id_col].cast("long") == F.col("__bad"), "left_anti")
 
 
 def items_digest(items: list[str]) -> str:

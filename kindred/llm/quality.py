@@ -191,5 +191,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier accepts, with all columns."""
-    bad = quality_scores(docs, labels, **options).filter("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[options.get("id_col", "doc_id")].cast("long") == F.col("_bad"), "left_anti")
+    bad = quality_scores(docs, labels, **options).filter("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs[options.get("id_col", "doc_id")].cast("long") == F.col("__bad"), "left_anti")

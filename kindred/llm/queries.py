@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, license_scan, packing, quality, simhash, toxicity
+from . import chat_format, decontaminate, exact_dedup, license_scan, line_dedup, packing, quality, simhash, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    cut = line_dedup.drop_boilerplate(docs, F.col("source"))
+    return cut.select("doc_id", F.col("__dropped").alias("n_dropped"), "text", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_license_scan": op6_license_scan,
     "op7_quality": op7_quality,
+    "op8_url_filter": op8_url_filter,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -138,4 +150,39 @@ pl as (
 select d.doc_id, len(w) n_words, coalesce(n_base, 0) n_base, first_word, last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels,
        case when any_ok then 1.0 else coalesce(0.5 * share, 0.0) end::double score
 from d left join pl using (doc_id) left join ls using (doc_id)""",
+    "op8_url_filter": r"""
+with u as (
+  select page_id, coalesce(url, '') url,
+         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) path
+  from pages
+), rules(h, p, v) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+fit as (
+  select page_id, h || p rule, v, row_number() over (partition by page_id order by length(h || p) desc) k
+  from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+),
+own as (
+  select u.*, rule, v,
+    host || case when length(path) > 1 then regexp_replace(path, '/$', '') else path end
+      || case when q <> '' then '?' || q else '' end form
+  from (select *, array_to_string(list_filter(string_split(regexp_extract(url, '^(?s:.*?)://[^?#]*\?([^#]*)', 1), '&'),
+          lambda x: x <> '' and not regexp_full_match(x, '(utm_[a-z]+|ref|fbclid|gclid)=[^&]*')), '&') q from u) u
+  left join (select * from fit where k = 1) using (page_id)
+),
+cls as (select form, case when bool_or(v = 'block') and not bool_or(v = 'allow') then 'block' else 'allow' end c from own where v is not null and contains(url, '://') group by 1)
+select page_id, host, path, rule, coalesce(v, c, 'allow') verdict from own left join cls using (form)""",
+    "op9_line_dedup": r"""
+with l as (
+  select doc_id, coalesce(source, '') site, text, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) pos from documents
+), k as (select *, trim(regexp_replace(line, '[\t\x0B\f\r]', ' ', 'g')) bare from l),
+pages as (select coalesce(source, '') site, count(*) pages from documents group by 1),
+bad as (
+  select site, bare from k join pages using (site) where bare <> '' and pages >= 20
+  group by site, bare, pages having count(distinct doc_id) > 0.1 * pages
+),
+f as (
+  select k.doc_id, count(*) filter (bad.bare is not null) n_dropped, coalesce(string_agg(line, chr(10) order by pos) filter (bad.bare is null), '') text
+  from k left join bad on k.site = bad.site and k.bare = bad.bare group by 1
+)
+select doc_id, coalesce(n_dropped, 0) n_dropped, f.text, sha256(f.text) text_sha256 from documents left join f using (doc_id)""",
 }

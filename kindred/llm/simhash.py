@@ -133,8 +133,11 @@ def route(nodes: list, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.n
         todo += [(inside, which[d <= m]), (outside, which[d > m - radius])]
 
 
-def forest(fps: np.ndarray, radius: int, leaf_size: int = LEAF_SIZE) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, as index pairs."""
+def forest(fps: np.ndarray, radius: int, leaf_size: int = LEAF_SIZE, sketches: np.ndarray | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
+    """A spanning forest of the links among fingerprints, as index pairs.
+
+    With sketches a link also needs an estimated Jaccard similarity.
+    """
     edges: list[tuple[int, int]] = []
     todo = [np.arange(len(fps))]
     while todo:
@@ -147,11 +150,11 @@ def forest(fps: np.ndarray, radius: int, leaf_size: int = LEAF_SIZE) -> list[tup
             if max(len(inner), len(outer)) < 0.95 * len(which):
                 todo += [inner, outer]
                 continue
-        edges += [(int(which[a]), int(which[b])) for a, b in _leaf(points, radius)]
+        edges += [(int(which[a]), int(which[b])) for a, b in _leaf(points, radius, None if sketches is None else sketches[which], similarity)]
     return edges
 
 
-def _leaf(points: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+def _leaf(points: np.ndarray, radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> Iterator[tuple[int, int]]:
     """Breadth-first search over one leaf; each point is expanded once."""
     linked = [i + np.flatnonzero((distance(points[i : i + 64, None], points[None, :]) <= radius).sum(axis=1) > 1) for i in range(0, len(points), 64)]
     rest = np.concatenate(linked) if linked else np.empty(0, dtype=np.int64)
@@ -160,6 +163,8 @@ def _leaf(points: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
         while len(front) and len(rest):
             at, front = front[0], front[1:]
             near = distance(points[rest], points[at]) <= radius
+            if sketches is not None and near.any():
+                near[near] = jaccard(sketches[rest[near]], sketches[at]) >= similarity
             for b in rest[near]:
                 yield at, b
             front, rest = np.concatenate((front, rest[near])), rest[~near]
@@ -190,6 +195,94 @@ def links(distinct: DataFrame, radius: int, leaf_size: int = LEAF_SIZE) -> DataF
     return group_pandas(dealt, "leaf", search, "u long, v long")
 
 
+#: Similarity mode: min-wise permutations, bands and sketch bins.
+ROWS, BANDS, BINS = 4, 12, 256
+GROUP, ANCHORS = 1000, 32
+_RNG = np.random.default_rng(SEED)
+_ODD = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """A one-permutation sketch (a byte per bin, 0 where empty) and band keys."""
+    out = np.zeros(BINS, dtype=np.uint8)
+    if not len(hashes):
+        return out, []
+    u = np.unique(hashes)
+    bins = (u >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = 1 + (u[first] % np.uint64(255)).astype(np.uint8)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(u), 8192):
+            least = np.minimum(least, ((u[i : i + 8192, None] ^ _XOR) * _ODD).min(axis=0))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+    return out, np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def jaccard(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches (rows) to one sketch; exact for short texts up to bin collisions."""
+    same = ((sketches == one) & (one > 0)).sum(axis=1)
+    return same / np.maximum(1, ((sketches > 0) | (one > 0)).sum(axis=1))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for t in pdf["text"]:
+                h = shingle_hashes(t, size)
+                bins, keys = sketch(h)
+                rows.append((int(np.array([fingerprint(h)], dtype=np.uint64).view(np.int64)[0]), bins.tobytes(), keys))
+            out = pd.DataFrame(rows, columns=["fp", "sketch", "bands"])
+            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
+            yield out
+
+    plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return map_pandas(plain, run, "doc_id long, fp long, sketch binary, bands array<long>")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+    """doc_id, component_id of near duplicates by shingle similarity.
+
+    At a similarity of 0.8 two fingerprints differ in up to some 18 bits, at
+    which the triangle bounds of a tree over all fingerprints prune nothing.
+    So documents first meet in buckets of equal min-wise bands (12 bands of 4:
+    a pair of similarity 0.8 shares one with probability 0.998), and each
+    bucket's tree is searched for fingerprints within ``radius`` bits whose
+    sketches confirm the similarity. Equal documents collapse beforehand. A
+    bucket of more than ``GROUP`` members is dealt into groups of that size,
+    which all hold the bucket's ``ANCHORS`` random anchors; groups become one
+    component through them.
+    """
+    prints = written(sketches(docs, id_col, text_col, size), "sketches")
+    distinct = written(prints.groupBy("fp", "sketch", "bands").agg(F.min("doc_id").alias("node")), "sketches-distinct")
+    light = distinct.select("node", F.explode("bands").alias("key"))
+    shared = written(light.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "bands-shared")
+    chance = F.pmod(F.xxhash64("node", "key"), F.col("m"))
+    groups = F.ceil(F.col("m") / F.lit(float(GROUP))).cast("int")
+    group = F.when(chance < ANCHORS, F.sequence(F.lit(0), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "node", F.lit(1)), groups).cast("int")))
+    members = light.join(shared, "key").select("node", "key", F.explode(group).alias("part")).select("node", F.xxhash64("key", "part").alias("bucket"))
+    dealt = members.join(distinct.select("node", "fp", "sketch"), "node")
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        fps, ids = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
+        bins = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(-1, BINS)
+        found = np.array(forest(fps, radius, LEAF_SIZE, bins, similarity), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
+
+    edges = group_pandas(dealt, "bucket", search, "u long, v long")
+    found = connected_components(edges, "similar-components")
+    to_component = written(distinct.join(found, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("component_id")), "similar-groups")
+    return prints.select("doc_id", "fp", "sketch").join(to_component, ["fp", "sketch"]).select("doc_id", "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents of which each near-duplicate group keeps one, that of the smallest id."""
+    gone = similar_groups(docs, id_col, text_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone.distinct(), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
