@@ -144,8 +144,8 @@ def tfidf_pairs(s1: DataFrame, targets: DataFrame, config: BlockingConfig) -> Da
     """
     ensure_shipped(s1.sparkSession)
     limit = config.tfidf_min_similarity
-    entries = tfidf_entries(s1, targets, config)
-    entries = entries.withColumn("g", F.pmod(F.xxhash64("gram"), F.lit(1 << 31)))
+    # Read four times below: prefixes and vectors of both sides.
+    entries = tfidf_entries(s1, targets, config).withColumn("g", F.pmod(F.xxhash64("gram"), F.lit(1 << 31))).persist()
     rest = Window.partitionBy("side", "id").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0)
     # The squared norm of the entries from this one on, commonest last.
     ranked = entries.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))

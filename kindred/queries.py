@@ -19,7 +19,7 @@ from .operators import blocking as B
 from .operators.blocking import FLAGS, S, T
 from .plans import evaluation as E
 from .plans import features as X
-from .plans import model, profiling, resolve, validation
+from .plans import model, profiling, resolve, service, validation
 from .sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,23 @@ def er_class_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(E.class_weight(labeled), 6),)], "class_weight double")
 
 
+def er_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labeled = E.label_pairs(union(spark, sf_dir)[0], truth(spark, sf_dir))
+    return E.blocked_negatives(labeled).select(S, T, "num_blocks_hit", "label")
+
+
+def er_dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = tuple(_profile_tables(spark, sf_dir).values())
+    return service.dataset_stats(tables, tables, truth(spark, sf_dir))
+
+
+def er_feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active block signals and the sum of each feature group of every candidate."""
+    found = X.pairwise_features(*union(spark, sf_dir), native_only=True)
+    sums = service.feature_table(found, S, T).groupBy(S, T, "group").agg(F.round(F.sum("value"), 3).alias("total"))
+    return sums.filter("group in ('blocking', 'country')")
+
+
 def er_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     s1, targets = sources(spark, sf_dir, normal=False)
     return E.random_negatives(s1, targets, truth(spark, sf_dir)).select(S, T, "num_blocks_hit", "label")
@@ -420,6 +437,14 @@ ORACLE_SQL: dict[str, str] = {
     "er_features_native": f"{_SCORED} select {_S}, {_T}, " + ", ".join(f"round({f}, 6) {f}" for f in X.NATIVE) + " from fx",
     "er_pair_labels": f"{_FULL} select {_S}, {_T}, (tp.s is not null)::int as label from u left join tp using (s, t)".replace("tp.s is not null", "exists (select 1 from tp where tp.s = u.s and tp.t = u.t)").replace(" left join tp using (s, t)", ""),
     "er_class_weight": f"{_FULL} select round(greatest(1, 0.8 * count(*) filter (not y) / greatest(1, count(*) filter (y))), 6)::double class_weight from (select exists (select 1 from tp where tp.s = u.s and tp.t = u.t) y from u)",
+    "er_hard_negatives": f"""{_FULL} select {_S}, {_T}, k num_blocks_hit, 0 as label from (
+        select *, f1 + f2 + f3 + f4 + f5 k, row_number() over (partition by s order by f1 + f2 + f3 + f4 + f5 desc, sim desc, t) r
+        from u where not exists (select 1 from tp where tp.s = u.s and tp.t = u.t)) where r <= 2""",
+    "er_dataset_stats": f"""{_BRIDGE}, {_TM}, k as (select count(*) filter (starts_with(entity_id, 'S1_')) a, count(*) filter (starts_with(entity_id, 'S2_')) b, count(*) filter (starts_with(entity_id, 'S3_')) c from n)
+        select count(*) num_train_gt, sum(k)::bigint positive_pairs, count(*) filter (k = 0) singletons, (select a from k) num_train_s1, (select b from k) num_train_s2, (select c from k) num_train_s3,
+        (select a from k) num_test_s1, (select b from k) num_test_s2, (select c from k) num_test_s3 from tm""",
+    "er_feature_groups": f"""{_SCORED} select {_S}, {_T}, unnest(['blocking', 'country']) as "group", round(unnest([
+        f_block_exact_name + f_block_nc + f_block_addr + f_block_tfidf + f_block_rare + round(f_tfidf_sim, 4) + f_num_blocks, f_country_match + f_country_missing + f_country_conflict]), 3) total from fx""",
     "er_negatives": f"""{_BRIDGE}, ti as (select entity_id t, row_number() over (order by substr(md5(entity_id || '|t'), 1, 3), entity_id) - 1 i from tg),
         dr as (select entity_id s, a, ('0x' || substr(md5(entity_id || '|' || a), 1, 12))::bigint % (select count(*) from tg) i from s1, range(1, 11) r(a)),
         pk as (select s, t, min(a) a from dr join ti using (i) where not exists (select 1 from tp where tp.s = dr.s and tp.t = ti.t) group by 1, 2)

@@ -11,7 +11,7 @@ from kindred.functions.text import normalized
 from kindred.operators import blocking as B
 from kindred.plans import evaluation as E
 from kindred.plans import features as X
-from kindred.plans import model, profiling, resolve, validation
+from kindred.plans import model, profiling, resolve, service, validation
 from kindred.sources import records
 
 from .conftest import SF, same_rows
@@ -32,7 +32,7 @@ def oracle():
 @pytest.mark.parametrize(
     "name",
     ["er_normalize", "er_block_exact_name", "er_block_name_country", "er_block_address_token", "er_block_rare_token", "er_block_tfidf", "er_candidates_union",
-     "er_features_native", "er_negatives", "er_entity_split", "er_threshold_sweep", "er_predictions", "er_validate_violations", "er_compare_pair"],
+     "er_features_native", "er_negatives", "er_entity_split", "er_threshold_sweep", "er_predictions", "er_validate_violations", "er_compare_pair", "er_hard_negatives", "er_dataset_stats", "er_feature_groups"],
 )
 def test_query_matches_sql(spark, oracle, name):
     same_rows(queries.QUERIES[name](spark, SF).toPandas(), oracle.sql(queries.ORACLE_SQL[name]).df())
@@ -192,6 +192,18 @@ def test_violations_of_lacking_columns_and_files(spark, tmp_path):
     assert {r["rule"] for r in validation.validate_files(spark, *[str(tmp_path / x) for x in "abc"]).collect()} == {"missing_file"}
 
 
+def test_service_replies(spark, business):
+    s1, tg = business
+    assert service.health(tg, False).first()["target_records"] == 6
+    matching = s1.select(F.col("entity_id").alias(B.S), F.lit("S2_1").alias("matched_entity_ids"))
+    pairs = matching.select(B.S, F.lit("S2_1").alias(B.T))
+    ok, bad = service.validation_reply(matching, pairs, s1, tg).first(), service.validation_reply(matching.limit(3), pairs, s1, tg).first()
+    assert ok["is_valid"] and ok["errors"] == [] and ok["total_pairs"] == 4
+    assert not bad["is_valid"] and any(e.startswith("missing_entity") for e in bad["errors"])
+    signals = spark.range(1).select(service.active_signals(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(0))).alias("m")).first()["m"]
+    assert signals == {"a": 1}
+
+
 def test_target_base_keeps_first(spark):
     a = spark.createDataFrame([("1", "first", "", "")], RECORD)
     b = spark.createDataFrame([("1", "second", "", ""), ("2", "other", "", "")], RECORD)
