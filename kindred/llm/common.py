@@ -29,6 +29,10 @@ WORD_TABLE = bytes(
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Paths of the tables that ``written`` made.
+_written: list[str] = []
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty and lone surrogates survive."""
     return (text or "").encode("utf-8", "surrogatepass")
@@ -81,10 +85,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kindred-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` made in this process; their frames are void then."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        path = hadoop(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_pandas(df: DataFrame, run, schema: str) -> DataFrame:
     ensure_shipped(df.sparkSession)
     return df.mapInPandas(run, schema)

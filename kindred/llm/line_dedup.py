@@ -7,9 +7,8 @@ so a site with a third of all pages sends one row per line and task. Page
 totals come from the same pass, under the empty hash.
 
 A page has finitely many lines, so a site has at most (lines per page) / ratio
-boilerplate lines. Pages look up those lines of theirs that are boilerplate by
-an equi-join on site and hash; the few hits are gathered per page, bounded by
-the page itself, and the page's text is filtered in place.
+boilerplate lines. Each site's set of them is one row of a written table, which
+pages look up by site; a page's text is filtered in place and never regrouped.
 
 Defined results: a null text stays null and has no lines; an empty line is
 never boilerplate; pages without site (null or empty) form a site of their own; a site
