@@ -42,7 +42,7 @@ LEGAL_FORMS = (
 PUNCTUATION = r"""[\.,;:!\?\"'’`\(\)\[\]\{\}<>\\/\|\-_+=~*^&#@$%]"""
 
 # Tokens that a core name leaves out.
-LEGAL_TOKENS = ("pvt", "ltd", "pty", "pte", "llc", "llp", "inc", "corp", "co", "gmbh", "bv", "sa", "ag", "limited")
+LEGAL_TOKENS = ("ltd", "limited", "inc", "corp", "llc", "llp", "gmbh", "pvt", "pty", "pte", "co", "bv", "sa", "ag")
 
 # Expansions of tokens in names and in addresses.
 NAME_EXPANSIONS = {
