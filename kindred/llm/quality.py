@@ -38,8 +38,8 @@ CUT = 0.3
 STEPS = 4
 GRID = 2000
 
+_ASCII_UPPER, _ASCII_LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 _SYMBOLS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,;:'\"()-?!|")
-_KEEP_UPPER = bytes(b for b in range(256) if not 0x41 <= b <= 0x5A)
 
 
 def _share(part: int, whole: int) -> float:
@@ -55,8 +55,8 @@ def features(text: str | None) -> list[float]:
     if not n:
         return [0.0] * 16
     distinct = set(words)
-    upper = sum(map(str.isupper, text)) if not raw.isascii() else len(raw) - len(raw.translate(None, bytes(range(0x41, 0x5B))))
-    letters = sum(map(str.isalpha, text)) if not raw.isascii() else len(raw) - len(raw.translate(None, bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B))))
+    upper = sum(map(str.isupper, text)) if not raw.isascii() else len(raw) - len(raw.translate(None, _ASCII_UPPER))
+    letters = sum(map(str.isalpha, text)) if not raw.isascii() else len(raw) - len(raw.translate(None, _ASCII_UPPER + _ASCII_LOWER))
     digits = len(raw) - len(raw.translate(None, b"0123456789"))
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))

@@ -1,21 +1,67 @@
 import pytest
 
-from kindred.llm.common import table
+from kindred.llm import decontaminate, line_dedup
+from kindred.llm.common import space_words, table
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from ..conftest import SF  # noqa: E402
+from .test_texts import brute_hits, check_packing  # noqa: E402
 
 
-def test_stages_keep_columns_and_take_effect(spark, tmp_path):
+def similarity(a, b):
+    def shingles(text):
+        w = space_words(text)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / max(1, len(x | y))
+
+
+def without_boilerplate(docs):
+    """Brute force of the second stage."""
+    pages, seen = {}, {}
+    for r in docs:
+        pages[r["source"]] = pages.get(r["source"], 0) + 1
+        for line in {x.strip(" \t\x0b\f\r") for x in r["text"].split("\n")} - {""}:
+            seen[r["source"], line] = seen.get((r["source"], line), 0) + 1
+    bad = {(s, line) for (s, line), n in seen.items() if pages[s] >= line_dedup.MIN_PAGES and n > line_dedup.RATIO * pages[s]}
+    return {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" \t\x0b\f\r")) not in bad) for r in docs}
+
+
+def test_stages_match_brute_force(spark, tmp_path):
     docs = table(spark, SF, "documents")
-    sizes = [docs.count()]
+    before = docs.collect()
+    rows = [before]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(spark, docs, SF)
-        assert sorted(out.columns) == sorted(docs.columns)
+        assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
-        sizes.append(docs.count())
-    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] > sizes[4] > 0.6 * sizes[0]
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+        rows.append(docs.collect())
+    text = [{r["doc_id"]: r["text"] for r in x} for x in rows]
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, SF, "labels").collect()}
+    right = sum((i in text[1]) == bool(q) for i, q in labels.items() if i in text[0])
+    assert right > 0.95 * len(labels)
+
+    assert text[2] == without_boilerplate(rows[1])
+    assert all(r["n_chars"] == len(r["text"]) for r in rows[2])
+
+    ids = sorted(text[2])
+    partners = {i: [j for j in ids if i != j and similarity(text[2][i], text[2][j]) >= 0.76] for i in ids}
+    for i in ids:
+        if i not in text[3]:
+            assert partners[i] and min(partners[i]) != i
+        elif any(j in text[3] and j != i and similarity(text[2][i], text[2][j]) >= 0.84 for j in ids):
+            pytest.fail(f"{i} has a near copy left")
+
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    hits = brute_hits(text[3].items(), items, decontaminate.WINDOW)
+    assert set(text[4]) == {i for i, (_, n, _) in hits.items() if not n}
+
+    check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), list(text[4].items()), 1024)
+
+
+def test_run_is_the_chain_of_stages(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
