@@ -44,22 +44,27 @@ def key_index(records: DataFrame, key: Column, many: bool = False, name: str = "
     return entries.filter(F.col("key").isNotNull() & (F.col("key") != ""))
 
 
-def join_keys(left: DataFrame, right: DataFrame, cap: int | None = None) -> DataFrame:
-    """Distinct pairs that share a key; with ``cap``, keys of at most that many target entries."""
+def join_keys(left: DataFrame, right: DataFrame, cap: int | None = None, many: bool = True) -> DataFrame:
+    """Distinct pairs that share a key; with ``cap``, keys of at most that many target entries.
+
+    Records of one key each (not ``many``) and unique ids can't repeat a pair,
+    so they are spared the shuffle that makes pairs distinct.
+    """
     if cap is not None:
         small = right.groupBy("key").count().filter(F.col("count") <= cap).select("key")
         right = right.join(small, "key", "left_semi")
-    return left.join(right, "key").select(S, T).distinct()
+    pairs = left.join(right, "key").select(S, T)
+    return pairs.distinct() if many else pairs
 
 
 def exact_name(s1: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
     key = F.col("business_name_norm")
-    return join_keys(key_index(s1, key, name=S), key_index(targets, key, name=T))
+    return join_keys(key_index(s1, key, name=S), key_index(targets, key, name=T), many=False)
 
 
 def name_country(s1: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
     key = F.when((F.col("business_name_core") != "") & (F.col("country_norm") != ""), F.concat_ws("___", "business_name_core", "country_norm"))
-    return join_keys(key_index(s1, key, name=S), key_index(targets, key, name=T))
+    return join_keys(key_index(s1, key, name=S), key_index(targets, key, name=T), many=False)
 
 
 def address_keys(config: BlockingConfig) -> Column:
@@ -184,7 +189,7 @@ BUILT_IN: dict[str, Strategy] = {
 
 def custom_strategy(key: Column, many: bool = False, cap: int | None = None) -> Strategy:
     """A strategy from a key expression, with a block cap if wanted."""
-    return lambda s1, targets, config: join_keys(key_index(s1, key, many, S), key_index(targets, key, many, T), cap)
+    return lambda s1, targets, config: join_keys(key_index(s1, key, many, S), key_index(targets, key, many, T), cap, many)
 
 
 def candidates(s1: DataFrame, targets: DataFrame, config: BlockingConfig | None = None, strategies=STRATEGIES, extra: dict[str, Strategy] | None = None) -> DataFrame:
