@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..config import BlockingConfig
 from ..functions.text import tokens
@@ -124,47 +123,67 @@ def tfidf_entries(s1: DataFrame, targets: DataFrame, config: BlockingConfig) ->
     return raw.select("side", "id", "gram", (F.col("w") / norm).alias("w"), "df")
 
 
-@F.pandas_udf(DoubleType())
-def _dot(ga: pd.Series, wa: pd.Series, gb: pd.Series, wb: pd.Series) -> pd.Series:
-    """Dot products of sparse vectors, for a whole batch by one sort."""
+#: Records of one block and targets of one shard at most, which bound what a task of the TF-IDF join holds.
+BLOCK, SHARD = 2048, 32768
 
-    def flat(keys: pd.Series, weights: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        sizes = [len(k) for k in keys]
-        owner = np.repeat(np.arange(len(keys), dtype=np.int64), sizes)
-        return owner * np.int64(1 << 32) + np.concatenate([*keys, np.empty(0)]).astype(np.int64), np.concatenate([*weights, np.empty(0)]).astype(np.float64)
 
-    a, x = flat(ga, wa)
-    b, y = flat(gb, wb)
-    keys, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    return pd.Series(np.bincount(keys >> 32, x[i] * y[j], minlength=len(ga)))
+def _scorer(limit: float, most: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Scores a block of records against a shard of targets by an inverted index of the shard."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
+        ids, found = right["id"].to_numpy(), []
+        if len(left) and len(right):
+            owner = np.repeat(np.arange(len(right)), [len(g) for g in right["g"]])
+            grams, weights = np.concatenate(list(right["g"])), np.concatenate(list(right["w"]))
+            order = np.argsort(grams, kind="stable")
+            grams, weights, owner = grams[order], weights[order], owner[order]
+            for s, g, w in zip(left["id"], left["g"], left["w"], strict=True):
+                sims = np.zeros(len(right))
+                # A target has a gram once, so no index repeats within a posting list.
+                for x, a, b in zip(w, np.searchsorted(grams, g, "left"), np.searchsorted(grams, g, "right"), strict=True):
+                    sims[owner[a:b]] += x * weights[a:b]
+                at = np.flatnonzero(sims >= limit - 1e-9)
+                if most is not None and len(at) > most:
+                    at = at[np.argsort(-np.round(sims[at], 9), kind="stable")[:most]]
+                if len(at):
+                    found.append(pd.DataFrame({S: s, T: ids[at], "sim": sims[at]}))
+        return pd.concat(found) if found else pd.DataFrame({S: [], T: [], "sim": []}).astype({S: str, T: str})
 
-def tfidf_pairs(s1: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
+    return run
+
+
+def tfidf_pairs(s1: DataFrame, targets: DataFrame, config: BlockingConfig, most: int | None = None) -> DataFrame:
     """(ids, sim) of all pairs with a cosine of at least the limit.
 
     Grams are ordered by document frequency. Of each vector only the prefix
     counts whose rest has a norm below the limit: two vectors that share no
-    prefix gram have a smaller dot product than the limit. Common grams thus
-    almost never form pairs, and the exact dot product decides.
+    prefix gram have a smaller dot product than the limit. Records are dealt
+    into blocks by a hash, and a target visits the blocks with which it shares
+    a prefix gram, once each and in shards, so that neither pairs nor their
+    vectors are shuffled. The exact dot product decides within the task. With
+    ``most`` a shard returns only that many best targets of a record.
     """
     ensure_shipped(s1.sparkSession)
     limit = config.tfidf_min_similarity
     # Read four times below: prefixes and vectors of both sides.
-    entries = tfidf_entries(s1, targets, config).withColumn("g", F.pmod(F.xxhash64("gram"), F.lit(1 << 31))).persist()
+    entries = tfidf_entries(s1, targets, config).persist()
     rest = Window.partitionBy("side", "id").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0)
     # The squared norm of the entries from this one on, commonest last.
     ranked = entries.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))
     prefix = ranked.filter(F.col("rest") >= limit - 1e-9).select("side", "id", "gram")
-    # Hash collisions of g would only matter within one vector; weights there are summed.
-    merged = entries.groupBy("side", "id", "g").agg(F.sum("w").alias("w"))
-    vectors = merged.groupBy("side", "id").agg(F.sort_array(F.collect_list(F.struct("g", "w"))).alias("v")).select("side", "id", F.col("v.g").alias("g"), F.col("v.w").alias("w"))
-    left = prefix.filter("side = 0").select(F.col("id").alias(S), "gram")
-    right = prefix.filter("side = 1").select(F.col("id").alias(T), "gram")
-    pairs = left.join(right, "gram").select(S, T).distinct()
-    a = vectors.filter("side = 0").select(F.col("id").alias(S), F.col("g").alias("ga"), F.col("w").alias("wa"))
-    b = vectors.filter("side = 1").select(F.col("id").alias(T), F.col("g").alias("gb"), F.col("w").alias("wb"))
-    scored = pairs.join(a, S).join(b, T).select(S, T, F.round(_dot("ga", "wa", "gb", "wb"), 9).alias("sim"))
-    return scored.filter(F.col("sim") >= limit)
+    vectors = entries.groupBy("side", "id").agg(F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("v")).select("side", "id", F.col("v.g").alias("g"), F.col("v.w").alias("w"))
+    records = s1.count()
+    blocks = max(1, -(-records // BLOCK), min(4 * s1.sparkSession.sparkContext.defaultParallelism, records // 128))
+    shards = max(1, -(-targets.count() // SHARD))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
+    shard = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("shard")
+    asked = prefix.filter("side = 0").select(block, "gram").distinct()
+    visits = prefix.filter("side = 1").join(asked, "gram").select("block", "id").distinct()
+    there = vectors.filter("side = 1").join(visits, "id").select("block", shard, "side", "id", "g", "w")
+    here = vectors.filter("side = 0").select(block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "side", "id", "g", "w")
+    scored = here.unionByName(there).groupBy("block", "shard").applyInPandas(_scorer(limit, most), f"{S} string, {T} string, sim double")
+    return scored.withColumn("sim", F.round("sim", 9)).filter(F.col("sim") >= limit)
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -174,7 +193,7 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def tfidf_ngram(s1: DataFrame, targets: DataFrame, config: BlockingConfig) -> DataFrame:
-    return top_k(tfidf_pairs(s1, targets, config), config.tfidf_top_k)
+    return top_k(tfidf_pairs(s1, targets, config, config.tfidf_top_k), config.tfidf_top_k)
 
 
 Strategy = Callable[[DataFrame, DataFrame, BlockingConfig], DataFrame]

@@ -102,6 +102,18 @@ def test_tfidf_matches_all_pairs(spark, business):
     got = {(r[B.S], r[B.T]): round(r["sim"], 6) for r in B.tfidf_pairs(s1, tg, BlockingConfig()).collect()}
     assert got == want
 
+    B_BLOCK, B_SHARD = B.BLOCK, B.SHARD
+    try:
+        B.BLOCK, B.SHARD = 2, 3  # several blocks and shards
+        again = B.tfidf_pairs(s1, tg, BlockingConfig()).collect()
+        best = B.top_k(B.tfidf_pairs(s1, tg, BlockingConfig(), 1), 1).collect()
+    finally:
+        B.BLOCK, B.SHARD = B_BLOCK, B_SHARD
+    assert len(again) == len(want) and {(r[B.S], r[B.T]): round(r["sim"], 6) for r in again} == want
+    for r in best:
+        assert round(r["sim"], 6) == max(x for (s, _), x in want.items() if s == r[B.S])
+    assert {r[B.S] for r in best} == {s for s, _ in want}
+
 
 def test_union_flags_and_empty_result(spark, business):
     s1, tg = business
