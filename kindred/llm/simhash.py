@@ -242,6 +242,28 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return map_pandas(plain, run, "doc_id long, fp long, sketch binary, bands array<long>")
 
 
+def _second_round(light: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, bucket) in which the members of large buckets meet that the first round left apart.
+
+    Of two members in different components at least one is outside the
+    bucket's largest component. Those outside, in chunks, meet all members of
+    the bucket, in parts, so a group holds about twice ``GROUP`` members. In a
+    bucket of near copies next to nothing is outside.
+    """
+    found = connected_components(edges, "similar-first")
+    inside = written(light.join(large, "key").join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("c")), "similar-large")
+    sizes = inside.groupBy("key", "m", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key", "m").agg(F.max(F.struct("n", "c")).alias("x")).filter("x.n < m")
+    main = main.select("key", F.col("x.c").alias("main"), F.ceil((F.col("m") - F.col("x.n")) / F.lit(float(GROUP))).cast("int").alias("chunks"), F.ceil(F.col("m") / F.lit(float(GROUP))).cast("int").alias("parts"))
+    all_ = inside.select("key", "node", "c").join(main, "key")
+    chance = F.xxhash64("node", "key", F.lit(2))
+    chunk, part = F.pmod(chance, F.col("chunks")).cast("int"), F.pmod(chance, F.col("parts")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = all_.filter("c <> main").select("key", "node", chunk.alias("chunk"), every("parts").alias("part"))
+    asked = all_.select("key", "node", every("chunks").alias("chunk"), part.alias("part"))
+    return asking.unionByName(asked).select("node", F.xxhash64("key", "chunk", "part", F.lit(2)).alias("bucket"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
     """doc_id, component_id of near duplicates by shingle similarity.
 
@@ -252,8 +274,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bucket's tree is searched for fingerprints within ``radius`` bits whose
     sketches confirm the similarity. Equal documents collapse beforehand. A
     bucket of more than ``GROUP`` members is dealt into groups of that size,
-    which all hold the bucket's ``ANCHORS`` random anchors; groups become one
-    component through them.
+    which all hold the bucket's ``ANCHORS`` random anchors; a group of near
+    copies becomes one component through them. What this leaves apart meets
+    in a second round (``_second_round``), so that no link is lost.
     """
     prints = written(sketches(docs, id_col, text_col, size), "sketches")
     distinct = written(prints.groupBy("fp", "sketch", "bands").agg(F.min("doc_id").alias("node")), "sketches-distinct")
@@ -272,6 +295,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
 
     edges = group_pandas(dealt, "bucket", search, "u long, v long")
+    large = shared.filter(F.col("m") > GROUP)
+    if not large.isEmpty():
+        edges = written(edges, "similar-edges")
+        apart = _second_round(light, large, edges).join(distinct.select("node", "fp", "sketch"), "node")
+        edges = edges.unionByName(group_pandas(apart, "bucket", search, "u long, v long"))
     found = connected_components(edges, "similar-components")
     to_component = written(distinct.join(found, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("component_id")), "similar-groups")
     return prints.select("doc_id", "fp", "sketch").join(to_component, ["fp", "sketch"]).select("doc_id", "component_id")
