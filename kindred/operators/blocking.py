@@ -3,8 +3,8 @@
 A strategy gives (source1_entity_id, candidate_entity_id) pairs of two
 normalised tables by key equality; no pair is formed outside a shared key.
 Blocks of too many targets are left out by rule (a count per key, which also
-bounds the join's fan-out), and the TF-IDF join forms pairs from the rare
-prefixes of the vectors only, which loses none above the similarity limit.
+bounds the join's fan-out), and the TF-IDF join lets records meet by the rare
+prefixes of their vectors only, which loses none above the similarity limit.
 """
 
 from __future__ import annotations
