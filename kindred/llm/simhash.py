@@ -198,6 +198,10 @@ def links(distinct: DataFrame, radius: int, leaf_size: int = LEAF_SIZE) -> DataF
 #: Similarity mode: min-wise permutations, bands and sketch bins.
 ROWS, BANDS, BINS = 4, 12, 256
 GROUP, ANCHORS = 1000, 32
+#: A sketch's estimate only selects candidates; at a similarity of 0.8 it is hardly ever below 0.7.
+LOOSE = 0.6
+#: Distinct shingles that a group confirmed by its texts holds, but for anchors.
+GROUP_SHINGLES = 4_000_000
 _RNG = np.random.default_rng(SEED)
 _ODD = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
@@ -221,25 +225,77 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 
 def jaccard(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Estimated similarity of sketches (rows) to one sketch; exact for short texts up to bin collisions."""
+    """Estimated similarity of sketches (rows) to one sketch."""
     same = ((sketches == one) & (one > 0)).sum(axis=1)
     return same / np.maximum(1, ((sketches > 0) | (one > 0)).sum(axis=1))
 
 
+def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sets (sorted, distinct) have this Jaccard similarity; two empty sets are alike."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, dtype=np.int64)
+    starts, held = np.cumsum(sizes) - sizes, np.zeros(len(codes) + 1, dtype=bool)
+    edges: list[tuple[int, int]] = []
+    rest, left = np.arange(len(sets)), codes  # the points not reached yet, and their codes
+    while len(rest):
+        front, left, rest = [int(rest[0])], left[sizes[rest[0]] :], rest[1:]
+        while front and len(rest):
+            at = front.pop()
+            own = codes[starts[at] : starts[at] + sizes[at]]
+            held[own] = True
+            common = np.diff(np.concatenate(([0], np.cumsum(held[left])))[np.concatenate(([0], np.cumsum(sizes[rest])))])
+            held[own] = False
+            either = sizes[rest] + sizes[at] - common
+            near = (common / np.maximum(1, either) >= similarity) | (either == 0)
+            if near.any():
+                edges += [(at, int(b)) for b in rest[near]]
+                front += rest[near].tolist()
+                left, rest = left[np.repeat(~near, sizes[rest])], rest[~near]
+    return edges
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """doc_id, digest and number n of the distinct shingles, fp, sketch and bands."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
                 h = shingle_hashes(t, size)
                 bins, keys = sketch(h)
-                rows.append((int(np.array([fingerprint(h)], dtype=np.uint64).view(np.int64)[0]), bins.tobytes(), keys))
-            out = pd.DataFrame(rows, columns=["fp", "sketch", "bands"])
+                u = np.unique(h)
+                rows.append((xxhash.xxh3_128_digest(u.tobytes()), len(u), int(np.array([fingerprint(h)], dtype=np.uint64).view(np.int64)[0]), bins.tobytes(), keys))
+            out = pd.DataFrame(rows, columns=["digest", "n", "fp", "sketch", "bands"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_pandas(plain, run, "doc_id long, fp long, sketch binary, bands array<long>")
+    return map_pandas(_texts(docs, id_col, text_col), run, "doc_id long, digest binary, n long, fp long, sketch binary, bands array<long>")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def _met(light: DataFrame, of: DataFrame, search, name: str) -> DataFrame:
+    """Edges (u, v) that ``search`` finds among the nodes of equal keys; light has (node, key, n), ``of`` what is looked at.
+
+    A key of more than ``GROUP`` nodes, or of more than ``GROUP_SHINGLES``
+    (the sum of n), is dealt into groups that share the key's anchors; what
+    they leave apart meets in a second round.
+    """
+    groups = F.ceil(F.greatest(F.col("m") / F.lit(float(GROUP)), F.least(F.col("m"), F.col("shingles") / F.lit(float(GROUP_SHINGLES))))).cast("int")
+    shared = light.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).filter("m > 1")
+    shared = written(shared.select("key", "m", groups.alias("groups")), f"{name}-shared")
+    chance = F.pmod(F.xxhash64("node", "key"), F.col("m"))
+    group = F.when(chance < ANCHORS, F.sequence(F.lit(0), F.col("groups") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "node", F.lit(1)), F.col("groups")).cast("int")))
+    members = light.join(shared, "key").select("node", "key", F.explode(group).alias("part")).select("node", F.xxhash64("key", "part").alias("bucket"))
+    edges = group_pandas(members.join(of, "node"), "bucket", search, "u long, v long")
+    large = shared.filter(F.col("groups") > 1)
+    if not large.isEmpty():
+        edges = written(edges, f"{name}-edges")
+        apart = _second_round(light.select("node", "key"), large, edges).join(of, "node")
+        edges = edges.unionByName(group_pandas(apart, "bucket", search, "u long, v long"))
+    return edges
 
 
 def _second_round(light: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
@@ -251,10 +307,10 @@ def _second_round(light: DataFrame, large: DataFrame, edges: DataFrame) -> DataF
     bucket of near copies next to nothing is outside.
     """
     found = connected_components(edges, "similar-first")
-    inside = written(light.join(large, "key").join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("c")), "similar-large")
-    sizes = inside.groupBy("key", "m", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key", "m").agg(F.max(F.struct("n", "c")).alias("x")).filter("x.n < m")
-    main = main.select("key", F.col("x.c").alias("main"), F.ceil((F.col("m") - F.col("x.n")) / F.lit(float(GROUP))).cast("int").alias("chunks"), F.ceil(F.col("m") / F.lit(float(GROUP))).cast("int").alias("parts"))
+    inside = written(light.join(large, "key").join(found, "node", "left").select("key", "m", "groups", "node", F.coalesce("component", "node").alias("c")), "similar-large")
+    sizes = inside.groupBy("key", "m", "groups", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key", "m", "groups").agg(F.max(F.struct("n", "c")).alias("x")).filter("x.n < m")
+    main = main.select("key", F.col("x.c").alias("main"), F.ceil((F.col("m") - F.col("x.n")) * F.col("groups") / F.col("m")).cast("int").alias("chunks"), F.col("groups").alias("parts"))
     all_ = inside.select("key", "node", "c").join(main, "key")
     chance = F.xxhash64("node", "key", F.lit(2))
     chunk, part = F.pmod(chance, F.col("chunks")).cast("int"), F.pmod(chance, F.col("parts")).cast("int")
@@ -272,37 +328,36 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     So documents first meet in buckets of equal min-wise bands (12 bands of 4:
     a pair of similarity 0.8 shares one with probability 0.998), and each
     bucket's tree is searched for fingerprints within ``radius`` bits whose
-    sketches confirm the similarity. Equal documents collapse beforehand. A
-    bucket of more than ``GROUP`` members is dealt into groups of that size,
-    which all hold the bucket's ``ANCHORS`` random anchors; a group of near
-    copies becomes one component through them. What this leaves apart meets
-    in a second round (``_second_round``), so that no link is lost.
+    sketches have an estimate of ``LOOSE``. The components of these candidate
+    pairs read their texts again, and only pairs whose shingle sets have the
+    similarity are links. Equal shingle sets collapse beforehand. A bucket or
+    component of more than ``GROUP`` members is dealt into groups of that size,
+    which all hold its ``ANCHORS`` random anchors; a group of near copies
+    becomes one component through them. What this leaves apart meets in a
+    second round (``_second_round``), so that no link is lost.
     """
     prints = written(sketches(docs, id_col, text_col, size), "sketches")
-    distinct = written(prints.groupBy("fp", "sketch", "bands").agg(F.min("doc_id").alias("node")), "sketches-distinct")
-    light = distinct.select("node", F.explode("bands").alias("key"))
-    shared = written(light.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "bands-shared")
-    chance = F.pmod(F.xxhash64("node", "key"), F.col("m"))
-    groups = F.ceil(F.col("m") / F.lit(float(GROUP))).cast("int")
-    group = F.when(chance < ANCHORS, F.sequence(F.lit(0), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "node", F.lit(1)), groups).cast("int")))
-    members = light.join(shared, "key").select("node", "key", F.explode(group).alias("part")).select("node", F.xxhash64("key", "part").alias("bucket"))
-    dealt = members.join(distinct.select("node", "fp", "sketch"), "node")
+    distinct = written(prints.groupBy("digest", "n", "fp", "sketch", "bands").agg(F.min("doc_id").alias("node")), "sketches-distinct")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, ids = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
         bins = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(-1, BINS)
-        found = np.array(forest(fps, radius, LEAF_SIZE, bins, similarity), dtype=np.int64).reshape(-1, 2)
+        found = np.array(forest(fps, radius, LEAF_SIZE, bins, LOOSE), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
 
-    edges = group_pandas(dealt, "bucket", search, "u long, v long")
-    large = shared.filter(F.col("m") > GROUP)
-    if not large.isEmpty():
-        edges = written(edges, "similar-edges")
-        apart = _second_round(light, large, edges).join(distinct.select("node", "fp", "sketch"), "node")
-        edges = edges.unionByName(group_pandas(apart, "bucket", search, "u long, v long"))
-    found = connected_components(edges, "similar-components")
-    to_component = written(distinct.join(found, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("component_id")), "similar-groups")
-    return prints.select("doc_id", "fp", "sketch").join(to_component, ["fp", "sketch"]).select("doc_id", "component_id")
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["node"].to_numpy(np.int64)
+        found = np.array(exact_forest([np.unique(shingle_hashes(t, size)) for t in pdf["text"]], similarity), dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
+
+    light = distinct.select("node", F.explode("bands").alias("key"), F.lit(0).cast("long").alias("n"))
+    near = written(connected_components(_met(light, distinct.select("node", "fp", "sketch"), search, "bands"), "similar-candidates"), "similar-near")
+    texts = _texts(docs, id_col, text_col).withColumnRenamed("doc_id", "node")
+    sizes = distinct.groupBy("node").agg(F.sum("n").alias("n"))
+    light = near.join(sizes, "node").select("node", F.col("component").alias("key"), "n")
+    found = connected_components(_met(light, texts, confirm, "similar"), "similar-components")
+    to_component = written(distinct.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "similar-groups")
+    return prints.select("doc_id", "digest").join(to_component, "digest").select("doc_id", "component_id")
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

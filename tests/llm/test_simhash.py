@@ -151,3 +151,32 @@ def test_sketch_estimates_jaccard():
     b = np.concatenate((a[:800], rng.integers(0, 2**63, 100, dtype=np.uint64)))
     (x, _), (y, _) = simhash.sketch(a), simhash.sketch(b)
     assert simhash.jaccard(x[None, :], y)[0] == pytest.approx(0.8, abs=0.1)
+
+
+def shingle_jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similarity_is_decided_by_the_shingle_sets(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for g in range(60):  # a tail of other words: pairs just at and just below 0.8
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(500)]
+        for tail in (0, 55 if g % 2 else 57):
+            at = len(rows)
+            rows.append((at, " ".join(words[: 500 - tail] + [f"g{g}t{i}" for i in range(tail)]), ""))
+        a, b = rows[-2][1], rows[-1][1]
+        assert abs(shingle_jaccard(a, b) - 0.8) < 0.01
+        want |= {at - 1: at - 1, at: at - 1 if shingle_jaccard(a, b) >= 0.8 else at}
+    assert {want[i] == i for i in range(1, 120, 2)} == {True, False}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
+def test_exact_forest_matches_all_pairs():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(12, rng.integers(0, 12))).astype(np.uint64) for _ in range(80)]
+    edges = {frozenset(e) for e in simhash.exact_forest(sets, 0.8)}
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    assert all(alike(*e) for e in edges)
+    assert plain_components(range(80), lambda a, b: frozenset((a, b)) in edges) == plain_components(range(80), alike)
