@@ -133,11 +133,8 @@ def route(nodes: list, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.n
         todo += [(inside, which[d <= m]), (outside, which[d > m - radius])]
 
 
-def forest(fps: np.ndarray, radius: int, leaf_size: int = LEAF_SIZE, sketches: np.ndarray | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fingerprints, as index pairs.
-
-    With sketches a link also needs an estimated Jaccard similarity.
-    """
+def forest(fps: np.ndarray, radius: int, leaf_size: int = LEAF_SIZE) -> list[tuple[int, int]]:
+    """A spanning forest of the links among fingerprints, as index pairs."""
     edges: list[tuple[int, int]] = []
     todo = [np.arange(len(fps))]
     while todo:
@@ -150,11 +147,11 @@ def forest(fps: np.ndarray, radius: int, leaf_size: int = LEAF_SIZE, sketches: n
             if max(len(inner), len(outer)) < 0.95 * len(which):
                 todo += [inner, outer]
                 continue
-        edges += [(int(which[a]), int(which[b])) for a, b in _leaf(points, radius, None if sketches is None else sketches[which], similarity)]
+        edges += [(int(which[a]), int(which[b])) for a, b in _leaf(points, radius)]
     return edges
 
 
-def _leaf(points: np.ndarray, radius: int, sketches: np.ndarray | None = None, similarity: float = 0.0) -> Iterator[tuple[int, int]]:
+def _leaf(points: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Breadth-first search over one leaf; each point is expanded once."""
     linked = [i + np.flatnonzero((distance(points[i : i + 64, None], points[None, :]) <= radius).sum(axis=1) > 1) for i in range(0, len(points), 64)]
     rest = np.concatenate(linked) if linked else np.empty(0, dtype=np.int64)
@@ -163,8 +160,6 @@ def _leaf(points: np.ndarray, radius: int, sketches: np.ndarray | None = None, s
         while len(front) and len(rest):
             at, front = front[0], front[1:]
             near = distance(points[rest], points[at]) <= radius
-            if sketches is not None and near.any():
-                near[near] = jaccard(sketches[rest[near]], sketches[at]) >= similarity
             for b in rest[near]:
                 yield at, b
             front, rest = np.concatenate((front, rest[near])), rest[~near]
@@ -230,6 +225,23 @@ def jaccard(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return same / np.maximum(1, ((sketches > 0) | (one > 0)).sum(axis=1))
 
 
+def loose_forest(sketches: np.ndarray, least: float = LOOSE) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sketches with this estimate."""
+    edges: list[tuple[int, int]] = []
+    rest = np.arange(len(sketches))
+    while len(rest):
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            at = front.pop()
+            near = jaccard(sketches[rest], sketches[at]) >= least
+            if not sketches[at].any():
+                near |= ~sketches[rest].any(axis=1)
+            edges += [(at, int(b)) for b in rest[near]]
+            front += rest[near].tolist()
+            rest = rest[~near]
+    return edges
+
+
 def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose sets (sorted, distinct) have this Jaccard similarity; two empty sets are alike."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
@@ -255,21 +267,20 @@ def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, i
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, digest and number n of the distinct shingles, fp, sketch and bands."""
+    """doc_id, digest and number n of the distinct shingles, sketch and bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
-                h = shingle_hashes(t, size)
-                bins, keys = sketch(h)
-                u = np.unique(h)
-                rows.append((xxhash.xxh3_128_digest(u.tobytes()), len(u), int(np.array([fingerprint(h)], dtype=np.uint64).view(np.int64)[0]), bins.tobytes(), keys))
-            out = pd.DataFrame(rows, columns=["digest", "n", "fp", "sketch", "bands"])
+                u = np.unique(shingle_hashes(t, size))
+                bins, keys = sketch(u)
+                rows.append((xxhash.xxh3_128_digest(u.tobytes()), len(u), bins.tobytes(), keys))
+            out = pd.DataFrame(rows, columns=["digest", "n", "sketch", "bands"])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    return map_pandas(_texts(docs, id_col, text_col), run, "doc_id long, digest binary, n long, fp long, sketch binary, bands array<long>")
+    return map_pandas(_texts(docs, id_col, text_col), run, "doc_id long, digest binary, n long, sketch binary, bands array<long>")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -320,15 +331,14 @@ def _second_round(light: DataFrame, large: DataFrame, edges: DataFrame) -> DataF
     return asking.unionByName(asked).select("node", F.xxhash64("key", "chunk", "part", F.lit(2)).alias("bucket"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of near duplicates by shingle similarity.
 
-    At a similarity of 0.8 two fingerprints differ in up to some 18 bits, at
-    which the triangle bounds of a tree over all fingerprints prune nothing.
-    So documents first meet in buckets of equal min-wise bands (12 bands of 4:
-    a pair of similarity 0.8 shares one with probability 0.998), and each
-    bucket's tree is searched for fingerprints within ``radius`` bits whose
-    sketches have an estimate of ``LOOSE``. The components of these candidate
+    Fingerprints take no part: they count repeats, which the similarity of
+    sets does not. Documents first meet in buckets of equal min-wise bands (12
+    bands of 4: a pair of similarity 0.8 shares one with probability 0.998),
+    where those whose sketches have an estimate of ``LOOSE`` or more are
+    candidates. The components of these candidate
     pairs read their texts again, and only pairs whose shingle sets have the
     similarity are links. Equal shingle sets collapse beforehand. A bucket or
     component of more than ``GROUP`` members is dealt into groups of that size,
@@ -337,12 +347,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     second round (``_second_round``), so that no link is lost.
     """
     prints = written(sketches(docs, id_col, text_col, size), "sketches")
-    distinct = written(prints.groupBy("digest", "n", "fp", "sketch", "bands").agg(F.min("doc_id").alias("node")), "sketches-distinct")
+    distinct = written(prints.groupBy("digest", "n", "sketch", "bands").agg(F.min("doc_id").alias("node")), "sketches-distinct")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps, ids = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["node"].to_numpy(np.int64)
+        ids = pdf["node"].to_numpy(np.int64)
         bins = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(-1, BINS)
-        found = np.array(forest(fps, radius, LEAF_SIZE, bins, LOOSE), dtype=np.int64).reshape(-1, 2)
+        found = np.array(loose_forest(bins), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -351,7 +361,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
 
     light = distinct.select("node", F.explode("bands").alias("key"), F.lit(0).cast("long").alias("n"))
-    near = written(connected_components(_met(light, distinct.select("node", "fp", "sketch"), search, "bands"), "similar-candidates"), "similar-near")
+    near = written(connected_components(_met(light, distinct.select("node", "sketch"), search, "bands"), "similar-candidates"), "similar-near")
     texts = _texts(docs, id_col, text_col).withColumnRenamed("doc_id", "node")
     sizes = distinct.groupBy("node").agg(F.sum("n").alias("n"))
     light = near.join(sizes, "node").select("node", F.col("component").alias("key"), "n")

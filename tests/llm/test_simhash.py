@@ -180,3 +180,13 @@ def test_exact_forest_matches_all_pairs():
     alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
     assert all(alike(*e) for e in edges)
     assert plain_components(range(80), lambda a, b: frozenset((a, b)) in edges) == plain_components(range(80), alike)
+
+
+def test_repeats_do_not_part_equal_shingle_sets(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(20):  # the padding's repeats sway the fingerprint, not the set of shingles
+        words = " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))
+        rows += [(len(rows), words + " pad" * 5, ""), (len(rows) + 1, words + " pad" * 100, "")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
