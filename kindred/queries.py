@@ -245,7 +245,7 @@ def er_match_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = E.label_pairs(B.candidates(fit, targets), true)
     drawn = E.random_negatives(fit, targets, true).join(known.select(S, T), [S, T], "left_anti")
     features = X.pairwise_features(known.unionByName(drawn), fit, targets, keep=("label",)).persist()
-    trained = model.train(features, ModelConfig(), maxIter=8, maxDepth=4)
+    trained = model.train(features, ModelConfig())
     asked = X.pairwise_features(B.candidates(check, targets), check, targets)
     return model.score(trained, asked).select(S, T, F.round("match_probability", 6).alias("match_probability"))
 

@@ -254,3 +254,10 @@ def test_model_round_trip(spark, tmp_path):
     assert (threshold, metadata["features_count"]) == (0.3, 41)
     a, b = (m.orderBy(B.S).select("match_probability").collect() for m in (model.score(fitted, df), model.score(loaded, df)))
     assert a == b and model.score(None, df).first()["match_probability"] == 0.5
+
+
+def test_match_model_trains_with_the_preset(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.model, "train", lambda features, config, **override: seen.append(model.PRESETS[config.kind] | override))
+    queries.QUERIES["er_match_model"](spark, SF)
+    assert seen == [model.PRESETS["lightgbm"]]
