@@ -23,6 +23,7 @@ empty tables give an empty result or clean documents.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ WINDOW = 10
 #: Benchmark words of one look-up block. It bounds what goes to each task.
 BLOCK_WORDS = 500_000
 
-SEGMENT_SCHEMA = "ids array<long>, starts array<long>, terms binary, term_ends array<int>, positions binary"
+SEGMENT_SCHEMA = "segment string, ids array<long>, starts array<long>, terms binary, term_ends array<int>, positions binary"
 
 
 def _segment(ids: list, texts: list) -> dict:
@@ -59,6 +60,7 @@ def _segment(ids: list, texts: list) -> dict:
     terms = list(vocabulary)
     counts = np.bincount(flat[flat >= 0], minlength=len(terms))
     return {
+        "segment": uuid.uuid4().hex,
         "ids": ids,
         "starts": starts,
         "terms": b" ".join(terms),
@@ -82,6 +84,7 @@ class Segment:
     """A segment in memory: posting lists by term."""
 
     def __init__(self, row) -> None:
+        self.segment = row["segment"]
         self.ids = list(row["ids"])
         self.starts = np.asarray(row["starts"], dtype=np.int64)
         terms = row["terms"].split()
@@ -184,7 +187,7 @@ def _queries(block, counts: dict[bytes, int], size: int):
 def matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, span: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and block of items.
 
-    Columns: id, n_words, hits (array of start and end word, half open, merged),
+    Columns: id, segment and row (a key of the row), n_words, hits (array of start and end word, half open, merged),
     items (array of item ids as strings). With ``span`` a match is a proximity
     match and the hit is its rarest word.
     """
@@ -210,13 +213,14 @@ def _look_up(index: DataFrame, queries, span: int | None) -> DataFrame:
                         which.append(q)
                 yield _by_document(seg, at, length, which, queries)
 
-    return map_pandas(index, look, "id long, row long, n_words long, hits array<array<long>>, items array<string>")
+    return map_pandas(index, look, "id long, segment string, row long, n_words long, hits array<array<long>>, items array<string>")
 
 
 def _by_document(seg: Segment, at, length, which, queries) -> pd.DataFrame:
     n = len(seg.ids)
     out = {
         "id": pd.array(seg.ids, dtype="Int64"),
+        "segment": seg.segment,
         "row": np.arange(n),
         "n_words": np.diff(seg.starts) - 1,
         "hits": [[] for _ in range(n)],
@@ -244,14 +248,14 @@ def _by_document(seg: Segment, at, length, which, queries) -> pd.DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted array of strings), spans: one row per document.
 
-    With more than one block the rows of a document meet again by id, so ids
-    have to be unique then.
+    With more than one block the rows of a document meet again by segment and
+    row, so ids may repeat or be null.
     """
     index = build_index(docs, id_col, text_col)
     found = matches(index, benchmark, item_col, item_text_col, window, block_words=block_words)
     blocks = sum(1 for _ in _blocks(benchmark, item_col, item_text_col, block_words))
     if blocks > 1:
-        found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy("segment", "row").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merged = F.aggregate(
             F.array_sort("hits"),
             F.expr("cast(array() as array<array<bigint>>)"),

@@ -51,6 +51,14 @@ def test_decontaminate_matches_brute_force(spark, block_words):
     assert left.columns == ["doc_id", "text", "hits"] and {r["doc_id"] for r in left.collect()} == {i for i, x in brute_hits(texts, items, decontaminate.WINDOW).items() if not x[1]}
 
 
+@pytest.mark.parametrize("block_words", [2, 10_000])
+def test_decontaminate_keeps_repeated_and_null_ids_apart(spark, block_words):
+    docs = spark.createDataFrame([(1, "a b", ""), (1, "a b", ""), (1, "x c d", ""), (None, "c d", ""), (None, "z", "")], DOCS)
+    bench = spark.createDataFrame([(7, "a b"), (8, "c d")], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(docs, bench, block_words=block_words).collect())
+    assert got == [("1", 2, 2, ["7"]), ("1", 2, 2, ["7"]), ("1", 3, 2, ["8"]), ("None", 1, 0, []), ("None", 2, 2, ["8"])]
+
+
 def test_decontaminate_of_nothing(spark):
     docs, bench = spark.createDataFrame([(1, "a b", "")], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in decontaminate.decontaminate(docs, bench).collect()] == [(1, 2, 0, [])]
