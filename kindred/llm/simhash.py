@@ -15,6 +15,9 @@ bytes); the choice affects balance only, never results. Each leaf goes on
 splitting locally, and returns a spanning forest of its links, not its pairs:
 a large group of near copies gives one edge per member.
 
+The pipeline's similarity mode (``similar_groups``) uses no tree: it compares
+all sketches of a min-wise bucket and confirms by exact shingle sets.
+
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; fewer words than a shingle are one shingle; repeated rows share their
 component; a row with a null id gets a fingerprint and the component of that
