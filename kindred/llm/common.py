@@ -27,6 +27,8 @@ WORD_TABLE = bytes(
 
 #: The delimiters of alphanumeric words, as a Java and RE2 character class.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between two such words; splitting at it is cheaper than extracting the words.
+WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 #: Paths of the tables that ``written`` made.

@@ -1,17 +1,19 @@
 """Licence scan by a positional rare-token index, in native expressions only.
 
-Each template is a list of key phrases. One pass over the corpus counts in how
-many documents every template word occurs; the counts (one row per template
-word, a constant number) give inverse document frequencies. Per phrase the
-words of highest IDF are its look-up words. The second pass turns a file into
-postings (word, position) of look-up words, subtracts each word's offset in
-the phrase, intersects the lists from the rarest word on, and verifies the
-whole phrase at the positions that are left. Everything happens within one
-row: no shuffle, no join on documents, and no group can become hot.
+Each template is a list of key phrases. One pass over the corpus writes the
+positional index: per file the number of words and the postings (term,
+position) of the words that templates hold. The index gives in how many
+documents every template word occurs; the counts (one row per template word, a
+constant number) give inverse document frequencies. Per phrase the words of
+highest IDF are its look-up words. Files that hold them all get each word's
+offset in the phrase subtracted from its positions, the lists are intersected
+from the rarest word on, and the phrase's other words verify what is left.
+Everything happens within one row: no shuffle, no join on documents, and no
+group can become hot.
 
 Defined results: a null or empty text has no words, no labels and score 0;
-repeated rows give repeated results; extra columns are not read; an empty
-table gives an empty result.
+repeated rows give repeated results, and a null id is like any other; extra
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, lower_ascii_safe
+from .common import WORD_GAP, lower_ascii_safe, written
 
 
 @dataclass(frozen=True)
@@ -64,32 +66,32 @@ TEMPLATES = BASE + FAMILIES
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii_safe(text), F.lit(WORD_PATTERN), 0)
-
-
-def _literal_array(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+    return F.array_remove(F.split(lower_ascii_safe(text), WORD_GAP), "")
 
 
 def template_words(templates=TEMPLATES) -> list[str]:
     return sorted({w for t in templates for p in t.phrases for w in p.split()})
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> tuple[int, dict[str, int]]:
+def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
+    """doc_id, n_words and postings ``hits`` (c: number of the template word, i: position from 0), as a written table."""
+    vocabulary = template_words(templates)
+    # ``isin`` is a hash look-up; only the few words that pass get their number.
+    code = lambda w: (F.array_position(F.array(*(F.lit(v) for v in vocabulary)), w) - 1).cast("int")
+    numbered = lambda w, i: F.when(w.isin(vocabulary), F.struct(code(w).alias("c"), i.alias("i")))
+    words = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"))
+    return written(words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_compact(F.transform("w", numbered)).alias("hits")), "licence-index")
+
+
+def document_frequencies(index: DataFrame, templates=TEMPLATES) -> tuple[int, dict[str, int]]:
     """Number of documents, and of documents with each template word.
 
     The result has one row per template word, whatever the corpus holds.
     """
     vocabulary = template_words(templates)
-    found = (
-        docs.select(F.array_intersect(words_of(F.col(text_col)), _literal_array(vocabulary)).alias("w"))
-        .select(F.explode(F.array_append("w", "")).alias("w"))
-        .groupBy("w")
-        .count()
-        .collect()
-    )
-    df = {r["w"]: r["count"] for r in found}
-    return df.pop("", 0), {w: df.get(w, 0) for w in vocabulary}
+    rows = index.select(F.explode(F.array_append(F.array_distinct("hits.c"), -1)).alias("c")).groupBy("c").count().collect()
+    df = {r["c"]: r["count"] for r in rows}
+    return df.get(-1, 0), {w: df.get(c, 0) for c, w in enumerate(vocabulary)}
 
 
 def idf(n_docs: int, df: dict[str, int]) -> dict[str, float]:
@@ -101,17 +103,14 @@ def look_up_words(phrase: str, weights: dict[str, float], most: int = 3) -> list
     return sorted(((w, i) for i, w in enumerate(phrase.split())), key=lambda x: (-weights[x[0]], x[1]))[:most]
 
 
-def _starts(hits: Column, words: Column, phrase: str, rare: list[tuple[str, int]]) -> tuple[Column, Column]:
-    """Starts of verified places, and starts at which the look-up words align."""
+def _starts(places: list[tuple[int, int]], first: str = "") -> str:
+    """SQL for the starts that all words (number, offset in the phrase) agree on, and that the array ``first`` holds if it is given."""
+    lists = [first] * bool(first) + [f"transform(filter(hits, h -> h.c = {c}), h -> h.i - {o})" for c, o in places]
+    return reduce(lambda a, b: f"array_intersect({a}, {b})", lists)
 
-    def postings(word: str, offset: int) -> Column:
-        return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"] - F.lit(offset))
 
-    shifted = [postings(w, o) for w, o in rare]
-    aligned = F.filter(reduce(F.array_intersect, shifted), lambda s: s >= 0)
-    parts = phrase.split()
-    verified = F.filter(aligned, lambda s: F.slice(words, s + 1, len(parts)) == _literal_array(parts))
-    return verified, aligned
+def _quoted(label: str) -> str:
+    return label.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
@@ -120,45 +119,36 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``score`` is 1 for a verified template, else half the largest share of
     look-up weight among templates whose rarest words align, else 0.
     """
-    weights = idf(*document_frequencies(docs, text_col, templates))
+    index = positional_index(docs, id_col, text_col, templates)
+    weights = idf(*document_frequencies(index, templates))
+    number = {w: c for c, w in enumerate(template_words(templates))}
     plans = [(t, p, look_up_words(p, weights)) for t in templates for p in t.phrases]
-    anchors = sorted({rare[0][0] for *_, rare in plans})
-    vocabulary = sorted({w for *_, rare in plans for w, _ in rare})
-
-    words = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("_w"))
-    no_hit = F.expr("cast(array() as array<struct<w: string, i: int>>)")
-    posting = F.filter(
-        F.transform("_w", lambda w, i: F.when(F.array_contains(_literal_array(vocabulary), w), F.struct(w.alias("w"), i.alias("i")))),
-        lambda x: x.isNotNull(),
-    )
-    hits = F.when(F.arrays_overlap("_w", _literal_array(anchors)), posting).otherwise(no_hit)
-    out = words.select("doc_id", "_w", F.size("_w").cast("long").alias("n_words"), hits.alias("_hits"))
-
-    has = F.size("_hits") > 0
-    none = F.expr("cast(array() as array<int>)")
-    columns, names = [], {}
+
+    none = "cast(array() as array<int>)"
+    aligned, verified, names = [], [], {}
     for k, (t, p, rare) in enumerate(plans):
-        verified, aligned = _starts(F.col("_hits"), F.col("_w"), p, rare)
-        columns += [F.when(has, verified).otherwise(none).alias(f"_v{k}"), F.when(has, F.size(aligned) > 0).otherwise(False).alias(f"_a{k}")]
+        holds = " and ".join(f"array_contains(_terms, {number[w]})" for w, _ in rare)
+        starts = _starts([(number[w], o) for w, o in rare])
+        aligned.append(f"case when {holds} then filter({starts}, s -> s >= 0) else {none} end _a{k}")
+        others = [(number[w], o) for o, w in enumerate(p.split()) if (w, o) not in rare]
+        verified.append(f"case when size(_a{k}) > 0 then {_starts(others, f'_a{k}')} else {none} end _v{k}")
         names.setdefault(t, []).append(k)
-    out = out.select("doc_id", "n_words", *columns)
-
-    def full(t: Template) -> Column:
-        return reduce(lambda a, b: a & b, (F.size(f"_v{k}") > 0 for k in names[t]))
-
-    def labels(chosen) -> Column:
-        chosen = list(chosen)
-        if not chosen:
-            return F.lit("")
-        return F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(full(t), t.label) for t in chosen)), lambda x: x.isNotNull()))), ",")
-
-    base_keys = [k for t in templates if t.base for k in names[t]]
-    places = F.flatten(F.array(*(F.col(f"_v{k}") for k in base_keys))) if base_keys else none
-    found = reduce(lambda a, b: a | b, (full(t) for t in templates))
-    share = F.greatest(F.lit(0.0), F.lit(0.0), *(F.when(F.col(f"_a{k}"), sum(weights[w] for w, _ in rare) / sum(weights[w] for w in p.split())).otherwise(0.0) for k, (_, p, rare) in enumerate(plans)))
-    return out.select(
-        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        labels(t for t in templates if t.base).alias("base_labels"), labels(templates).alias("labels"),
-        F.when(found, 1.0).otherwise(F.lit(0.5) * share).alias("score"),
-    )
+    out = index.select("doc_id", "n_words", "hits", F.array_distinct("hits.c").alias("_terms"))
+    out = out.selectExpr("doc_id", "n_words", "hits", *aligned)
+    out = out.selectExpr("doc_id", "n_words", *(f"_a{k}" for k in range(len(plans))), *verified)
+
+    def full(t: Template) -> str:
+        return "(" + " and ".join(f"size(_v{k}) > 0" for k in names[t]) + ")"
+
+    def labels(chosen) -> str:
+        found = ", ".join(f"case when {full(t)} then '{_quoted(t.label)}' end" for t in chosen)
+        return f"array_join(array_sort(array_distinct(array_compact(array({found})))), ',')" if found else "''"
+
+    base = [t for t in templates if t.base]
+    places = f"flatten(array({', '.join(f'_v{k}' for t in base for k in names[t])}))" if base else none
+    shares = [(k, sum(weights[w] for w, _ in rare) / sum(weights[w] for w in p.split())) for k, (_, p, rare) in enumerate(plans)]
+    share = ", ".join(f"case when size(_a{k}) > 0 then {x!r}D else 0D end" for k, x in shares)
+    return out.selectExpr(
+        "doc_id", "n_words", f"cast(size({places}) as long) n_base", f"cast(array_min({places}) as long) first_word", f"cast(array_max({places}) as long) last_word",
+        f"{labels(base)} base_labels", f"{labels(templates)} labels", f"case when {' or '.join(map(full, names)) or 'false'} then 1D else 0.5D * greatest(0D, 0D, {share or '0D'}) end score",
+    )
