@@ -151,26 +151,61 @@ select d.doc_id, len(w) n_words, coalesce(n_base, 0) n_base, first_word, last_wo
        case when any_ok then 1.0 else coalesce(0.5 * share, 0.0) end::double score
 from d left join pl using (doc_id) left join ls using (doc_id)""",
     "op8_url_filter": r"""
-with u as (
-  select page_id, coalesce(url, '') url,
-         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
-         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) path
-  from pages
-), rules(h, p, v) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-fit as (
-  select page_id, h || p rule, v, row_number() over (partition by page_id order by length(h || p) desc) k
-  from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
-),
-own as (
-  select u.*, rule, v,
-    host || case when length(path) > 1 then regexp_replace(path, '/$', '') else path end
-      || case when q <> '' then '?' || q else '' end form
-  from (select *, array_to_string(list_filter(string_split(regexp_extract(url, '^(?s:.*?)://[^?#]*\?([^#]*)', 1), '&'),
-          lambda x: x <> '' and not regexp_full_match(x, '(utm_[a-z]+|ref|fbclid|gclid)=[^&]*')), '&') q from u) u
-  left join (select * from fit where k = 1) using (page_id)
-),
-cls as (select form, case when bool_or(v = 'block') and not bool_or(v = 'allow') then 'block' else 'allow' end c from own where v is not null and contains(url, '://') group by 1)
-select page_id, host, path, rule, coalesce(v, c, 'allow') verdict from own left join cls using (form)""",
+with recursive rules(h, p, v) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+tag as (
+  select url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) t from pages where contains(url, '://')
+), raw as (
+  select distinct url, case
+    when regexp_matches(t, '(?i)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') then regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    when regexp_matches(t, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') then regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) end t
+  from tag
+), part as (
+  select url, t, regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1) origin, regexp_extract(url, '^((?s:.*?):)//', 1) scheme,
+         regexp_replace(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '^$', '/') here,
+         regexp_extract(t, '^([^?#]*)', 1) tp, regexp_extract(t, '^[^?#]*(\?[^#]*)?', 1) tq
+  from (select url, trim(regexp_replace(t, '(?i)&(?:amp|#38|#x26);', '&', 'g')) t from raw where t <> '')
+), seg as (
+  select *, string_split(case when starts_with(tp, '/') then tp else regexp_extract(here, '^((?s:.*)/)', 1) || tp end, '/') s from part
+), path as (
+  select *, '/' || array_to_string(list_concat(
+    list_reduce(s[2:], lambda o, x: case when x = '.' then o when x = '..' then o[:-2] else list_append(o, x) end, []::varchar[]),
+    case when s[-1] in ('.', '..') then [''] else []::varchar[] end), '/') whole from (select url, t, origin, scheme, here, tq, list_transform(s, lambda x: x) s from seg)
+), link as (
+  select distinct url source, case
+    when t = '' or starts_with(t, '#') then null
+    when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*://') then t
+    when starts_with(t, '//') then scheme || t
+    when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') then null
+    when starts_with(t, '?') then origin || here || tq
+    else origin || whole || tq end target
+  from path
+), seen as (
+  select url from pages where url is not null union select target from link where target is not null
+), cut as (
+  select url, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+         regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) path,
+         array_to_string(list_filter(string_split(regexp_extract(url, '^(?s:.*?)://[^?#]*\?([^#]*)', 1), '&'),
+           lambda x: x <> '' and not regexp_full_match(x, '(utm_[a-z]+|ref|fbclid|gclid)=[^&]*')), '&') q
+  from seen
+), fit as (
+  select url, h || p rule, v, row_number() over (partition by url order by length(h || p) desc) k
+  from cut join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+), own as (
+  select cut.*, rule, v,
+    case when contains(url, '://') then host || case when length(path) > 1 then regexp_replace(path, '/$', '') else path end || case when q <> '' then '?' || q else '' end end form
+  from cut left join (select * from fit where k = 1) using (url)
+), edge as (
+  select a.form a, b.form b from link join own a on a.url = source join own b on b.url = target where a.form <> b.form
+), reach(a, b) as (
+  select form, form from own where form is not null
+  union
+  select reach.a, e.b from reach join (select a, b from edge union all select b, a from edge) e on reach.b = e.a
+), bad as (
+  select reach.a form from reach join own on own.form = reach.b where v is not null
+  group by 1 having bool_or(v = 'block') and not bool_or(v = 'allow')
+)
+select page_id, coalesce(host, '') host, coalesce(path, '') path, rule, coalesce(v, case when bad.form is not null then 'block' else 'allow' end) verdict
+from pages left join own using (url) left join bad using (form)""",
     "op9_line_dedup": r"""
 with l as (
   select doc_id, coalesce(source, '') site, text, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) pos from documents
