@@ -3,13 +3,15 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm import decontaminate, license_scan, line_dedup, packing, quality, queries, toxicity, url_filter
 
-from ..conftest import SF
+from ..conftest import SF, same_rows
 
 DOCS = "doc_id long, text string, hits string"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -228,6 +230,41 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def linked_pages(rng, n=150):
+    hosts, paths = ["bad.com", "a.example.com", "x.net", "free.info", "h.org", "z.io"], ["/en/1", "/en/", "/de/81", "/de/", "/es/", "/a/b/c", "/a/", "", "/q", "/en/77"]
+    url = lambda: rng.choice(["https://", "http://"]) + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "", "/", "?id=1", "?utm_source=x&id=1", "#top"])
+    odd = ["w1.html", "w2.html", "../x", "?q=1", "/go?u=http://h/x", "//bad.com/en/", "mailto:x@y", "#f", "./a/../b/..", "?a=1&amp;b=2", "../../../../en/1", "https://bad.com/en/", "https://bad.com/en/z"]
+    rows = []
+    for i in range(n):
+        t, html = rng.choice([url(), url(), rng.choice(odd)]), None
+        if rng.random() < 0.5:
+            html = "<p>x</p>" + rng.choice([f'<link href="{t}" rel="canonical">', f"<LINK REL=canonical HREF='{t}'/>", f'<meta http-equiv="refresh" content="0; url={t}">', f'<a href="{t}">', f'<link rel="stylesheet" href="{t}">'])
+        rows.append((i, url() if rng.random() < 0.95 else rng.choice([None, "", "no scheme"]), html))
+    return [*rows, rows[0], (None, rows[1][1], rows[1][2])]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_filter_matches_its_sql_on_linked_pages(spark, seed):
+    rows = linked_pages(random.Random(seed))
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    assert ((got["verdict"] == "block") & got["rule"].isna()).any()  # blocked by an alias alone
+    same_rows(got, con.execute(queries.ORACLE_SQL["op8_url_filter"]).df())
+
+
+def test_link_targets_resolve_as_in_browsers(spark):
+    from urllib.parse import urljoin
+
+    pages = ["https://h.org/a/b?x=1", "http://h.org", "https://h.org/a/b/"]
+    targets = ["w.html", "../x", "../../../x", "./y/", "?q=2", "/z?u=http://h/x", "//o.net/k", "https://o.net/k", "..", "a/./b/../c", "&amp;x"]
+    df = spark.createDataFrame([(p, t) for p in pages for t in targets], "p string, t string")
+    got = {(r["p"], r["t"]): r["u"] for r in df.select("p", "t", url_filter.absolute(F.col("t"), F.col("p")).alias("u")).collect()}
+    assert got == {(p, t): urljoin(p, t.replace("&amp;", "&")) if p.count("/") > 2 or t[0] != "?" else p + "/" + t for p in pages for t in targets}
+    none = df.limit(1).select(*(url_filter.absolute(F.lit(t), F.lit(pages[0])).alias(f"c{i}") for i, t in enumerate(["", "#x", "mailto:a@b", "javascript:void(0)"])))
+    assert set(none.first()) == {None}
+
+
 def test_line_dedup(spark):
     rows = [(i, "a", f"Menu\nown {i}\n menu2 \n\nMenu\nend") for i in range(18)] + [(100, "a", None), (101, "a", "plain"), (102, "b", "Menu\nx"), (103, None, "Menu\n"), (104, "a", "Menu")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n", F.lit(1))
