@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -69,35 +70,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (single machine tests) one is set.
+    Only where a local master has none (tests on one machine) one is set; on a
+    cluster its absence is an error, as executors would write to their own disks.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="kindred-")
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it again.
 
     It cuts the lineage: later stages read replicated files, so a lost
-    executor costs the tasks it ran and not the whole history.
+    executor costs the tasks it ran and not the whole history. The files go
+    with ``release``, and else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kindred-{name}-{uuid.uuid4().hex}"
     _written.append(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` made in this process; their frames are void then."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        path = hadoop(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def marks(spark: SparkSession) -> int:
+    """How many tables ``written`` has made so far, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Deletes the tables that ``written`` made after the first ``since``, but the last ``but``; their frames are void then."""
+    for path in _written[since : len(_written) - but]:
+        _written.remove(path)
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of a text, null like empty, which tell rows of one id apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are not in ``bad`` (doc_id, key); null ids and rows that repeat an id are told by their texts.
+
+    ``bad`` comes from a written table or from Python, so its columns can't be
+    confused with those of ``docs``, whatever their names.
+    """
+    bad = bad.select(F.col("doc_id").alias("doc_id"), F.col("key").alias("key")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(bad["doc_id"]) & (text_key(docs[text_col]) == bad["key"])
+    return docs.join(bad, same, "left_anti")
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that the frame lacks, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while stem.lower() in have:
+        stem += "_"
+    return stem
 
 
 def map_pandas(df: DataFrame, run, schema: str) -> DataFrame:

@@ -16,8 +16,10 @@ within a span.
 
 Defined results: a null or empty text has no words and is clean; an item
 without words never occurs; an item of fewer words than the window is one
-window; repeated rows give repeated results; extra columns are not read;
-empty tables give an empty result or clean documents.
+window; an item with a null id hits words, but no item is named for it; rows
+that repeat an id (of documents or items) and null ids are looked up row by
+row; extra columns are not read, whatever their names; empty tables give an
+empty result or clean documents.
 """
 
 from __future__ import annotations
@@ -25,19 +27,20 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, map_pandas, sub_batches, text_sizes, written
+from .common import alnum_words, map_pandas, sub_batches, text_sizes, utf8, without, written
 
 WINDOW = 10
 #: Benchmark words of one look-up block. It bounds what goes to each task.
 BLOCK_WORDS = 500_000
 
-SEGMENT_SCHEMA = "segment string, ids array<long>, starts array<long>, terms binary, term_ends array<int>, positions binary"
+SEGMENT_SCHEMA = "segment string, ids array<long>, keys array<binary>, starts array<long>, terms binary, term_ends array<int>, positions binary"
 
 
 def _segment(ids: list, texts: list) -> dict:
@@ -62,6 +65,7 @@ def _segment(ids: list, texts: list) -> dict:
     return {
         "segment": uuid.uuid4().hex,
         "ids": ids,
+        "keys": [hashlib.md5(utf8(t)).digest() for t in texts],
         "starts": starts,
         "terms": b" ".join(terms),
         "term_ends": np.cumsum(counts).astype(np.int32),
@@ -85,7 +89,7 @@ class Segment:
 
     def __init__(self, row) -> None:
         self.segment = row["segment"]
-        self.ids = list(row["ids"])
+        self.ids, self.keys = list(row["ids"]), list(row["keys"])
         self.starts = np.asarray(row["starts"], dtype=np.int64)
         terms = row["terms"].split()
         self.ends = np.asarray(row["term_ends"], dtype=np.int64)
@@ -160,7 +164,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> I
     block, total = [], 0
     for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         words = alnum_words(r["t"])
-        if not words or r["i"] is None:
+        if not words:
             continue
         if block and total + len(words) > limit:
             yield block
@@ -171,55 +175,79 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> I
         yield block
 
 
-def _queries(block, counts: dict[bytes, int], size: int):
-    """Distinct windows with their order of rarity and the items that have them."""
-    by_window: dict[tuple[bytes, ...], list] = {}
+Query = tuple[tuple[bytes, ...], tuple[int, ...], list]
+
+
+def _queries(block, counts: dict[bytes, int], size: int) -> dict[bytes, list[Query]]:
+    """Distinct windows by their rarest term, with their order of rarity and the items that have them."""
+    by_window: dict[tuple[bytes, ...], set] = {}
     for item, words in block:
         for w in windows(words, size):
-            by_window.setdefault(w, []).append(item)
-    found = []
+            by_window.setdefault(w, set()).update(() if item is None else (item,))
+    found: dict[bytes, list[Query]] = {}
     for w, items in by_window.items():
         if all(counts.get(t, 0) for t in w):
-            found.append((w, tuple(sorted(range(len(w)), key=lambda i: (counts[w[i]], i))), sorted(set(items))))
+            order = tuple(sorted(range(len(w)), key=lambda i: (counts[w[i]], i)))
+            found.setdefault(w[order[0]], []).append((w, order, sorted(items)))
     return found
 
 
 def matches(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, span: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document and block of items.
+    """One row per document.
 
-    Columns: id, segment and row (a key of the row), n_words, hits (array of start and end word, half open, merged),
-    items (array of item ids as strings). With ``span`` a match is a proximity
-    match and the hit is its rarest word.
+    Columns: id, key (of the text), segment and row (a key of the row), n_words, hits (array of start and end word, half
+    open, merged), items (sorted array of item ids as strings). With ``span`` a match is a proximity match and the hit is
+    its rarest word. The benchmark is read once, in blocks; the rows of a document meet again by segment and row.
     """
-    out = None
+    found = []
     for block in _blocks(benchmark, item_col, text_col, block_words):
         counts = term_counts(index, {w for _, words in block for w in words})
-        found = _look_up(index, _queries(block, counts, window), span)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else _look_up(index, [], span)
+        found.append(_look_up(index, _queries(block, counts, window), span))
+    if not found:
+        found.append(_look_up(index, {}, span))
+    return found[0] if len(found) == 1 else _merged(reduce(DataFrame.unionByName, found))
+
 
+def _merged(found: DataFrame) -> DataFrame:
+    """One row per document again, with hits merged over blocks."""
+    all_ = found.groupBy("segment", "row").agg(
+        F.max("id").alias("id"), F.max("key").alias("key"), F.max("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
 
-def _look_up(index: DataFrame, queries, span: int | None) -> DataFrame:
+    def step(done, x):
+        last = F.element_at(done, -1)
+        longer = F.array(last[0], F.greatest(last[1], x[1]))
+        return F.when((F.size(done) > 0) & (last[1] >= x[0]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.array_append(done, x))
+
+    hits = F.aggregate("hits", F.expr("cast(array() as array<array<bigint>>)"), step)
+    return all_.select("id", "key", "segment", "row", "n_words", hits.alias("hits"), "items")
+
+
+def _look_up(index: DataFrame, queries: dict[bytes, list[Query]], span: int | None) -> DataFrame:
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 seg = Segment(row)
-                at, length, which = [], [], []
-                for q, (w, order, _) in enumerate(queries):
-                    starts = seg.phrase(w, order) if span is None else seg.near(w, order, span)
-                    if len(starts):
-                        at.append(starts.astype(np.int64))
-                        length.append(len(w) if span is None else 1)
-                        which.append(q)
-                yield _by_document(seg, at, length, which, queries)
+                at, length, items = [], [], []
+                # Only windows whose rarest term the segment holds are looked at.
+                for term in queries.keys() & seg.place.keys():
+                    for w, order, names in queries[term]:
+                        starts = seg.phrase(w, order) if span is None else seg.near(w, order, span)
+                        if len(starts):
+                            at.append(starts.astype(np.int64))
+                            length.append(len(w) if span is None else 1)
+                            items.append(names)
+                yield _by_document(seg, at, length, items)
 
-    return map_pandas(index, look, "id long, segment string, row long, n_words long, hits array<array<long>>, items array<string>")
+    return map_pandas(index, look, "id long, key binary, segment string, row long, n_words long, hits array<array<long>>, items array<string>")
 
 
-def _by_document(seg: Segment, at, length, which, queries) -> pd.DataFrame:
+def _by_document(seg: Segment, at: list[np.ndarray], length: list[int], items: list[list]) -> pd.DataFrame:
     n = len(seg.ids)
     out = {
         "id": pd.array(seg.ids, dtype="Int64"),
+        "key": seg.keys,
         "segment": seg.segment,
         "row": np.arange(n),
         "n_words": np.diff(seg.starts) - 1,
@@ -229,7 +257,7 @@ def _by_document(seg: Segment, at, length, which, queries) -> pd.DataFrame:
     if at:
         starts = np.concatenate(at)
         ends = starts + np.repeat(length, [len(x) for x in at])
-        query = np.repeat(which, [len(x) for x in at])
+        query = np.repeat(np.arange(len(at)), [len(x) for x in at])
         doc = np.searchsorted(seg.starts, starts, "right") - 1
         order = np.lexsort((ends, starts, doc))
         starts, ends, query, doc = starts[order], ends[order], query[order], doc[order]
@@ -241,35 +269,21 @@ def _by_document(seg: Segment, at, length, which, queries) -> pd.DataFrame:
             last = np.append(new[1:] - 1, b - a - 1)
             base = seg.starts[d]
             out["hits"][d] = [[int(s - base), int(e - base)] for s, e in zip(starts[a:b][new], reach[last], strict=True)]
-            out["items"][d] = sorted({str(i) for q in np.unique(query[a:b]) for i in queries[q][2]})
+            out["items"][d] = sorted({str(i) for q in np.unique(query[a:b]) for i in items[q]})
     return pd.DataFrame(out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted array of strings), spans: one row per document.
-
-    With more than one block the rows of a document meet again by segment and
-    row, so ids may repeat or be null.
-    """
-    index = build_index(docs, id_col, text_col)
-    found = matches(index, benchmark, item_col, item_text_col, window, block_words=block_words)
-    blocks = sum(1 for _ in _blocks(benchmark, item_col, item_text_col, block_words))
-    if blocks > 1:
-        found = found.groupBy("segment", "row").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        merged = F.aggregate(
-            F.array_sort("hits"),
-            F.expr("cast(array() as array<array<bigint>>)"),
-            lambda done, x: F.when((F.size(done) > 0) & (F.element_at(F.element_at(done, -1), 2) >= x[0]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(F.element_at(F.element_at(done, -1), 1), F.greatest(F.element_at(F.element_at(done, -1), 2), x[1]))))).otherwise(F.array_append(done, x)),
-        )
-        found = found.withColumn("hits", merged)
+    """doc_id, n_words, n_hit, items (sorted array of strings), spans and key (of the text): one row per document."""
+    found = matches(build_index(docs, id_col, text_col), benchmark, item_col, item_text_col, window, block_words=block_words)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
-    return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), "items", F.col("hits").alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), "items", F.col("hits").alias("spans"), "key")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which at most this share of words is benchmark text."""
-    bad = decontaminate(docs, benchmark, id_col, text_col).filter(F.col("n_hit") > max_hit_share * F.col("n_words")).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad.distinct(), docs[id_col].cast("long") == F.col("__bad"), "left_anti")
+    bad = decontaminate(docs, benchmark, id_col, text_col).filter(F.col("n_hit") > max_hit_share * F.col("n_words")).select("doc_id", "key")
+    return without(docs, bad, id_col, text_col)
 
 
 def items_digest(items: list[str]) -> str:

@@ -107,5 +107,6 @@ def exact_dedup(
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of repeated rows all stay."""
-    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("doc_id"), F.col("text_sha256").alias("sha")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(keep["doc_id"]) & (F.sha2(normalised(docs[text_col]), 256) == keep["sha"])
+    return docs.join(keep, same, "left_semi")

@@ -7,18 +7,23 @@ classes need no balancing. Features are shares and ratios over the whole text
 (capitals, symbols, separators, repetition, word shape), each with some
 indicator steps at quantiles of the fitting sample.
 
-Fitting uses at most ``SAMPLE`` labelled rows, the first in the order of a
-hash of their id, and ``PAIRS`` pairs drawn with a fixed seed. The threshold
-covers all data: strengths of all documents give a grid of score quantiles,
-all labelled training rows are counted between them, and the quantile with
-the best balanced accuracy becomes the threshold. Scores are the logistic of
-the strength, shifted so that the threshold has the score ``CUT``.
+Fitting uses at most ``sample`` labelled rows, the first in the order of a
+hash of their id, and ``pairs`` preference pairs drawn from them with a fixed
+seed (parameters, by default ``SAMPLE`` and ``PAIRS``; the README has the
+measured loss). The threshold covers all data: strengths of all documents give
+a grid of score quantiles, all labelled training rows are counted between
+them, and the quantile with the best balanced accuracy becomes the threshold.
+Scores are the logistic of the strength, shifted so that the threshold has the
+score ``CUT``.
 
 Defined results: a null or empty text has all-zero features and a score like
 any other; a label row that is null, or whose document is missing, is ignored;
-repeated rows give repeated scores; extra columns are not read; without
-labels of both classes every strength is 0; an empty table gives an empty
-result.
+of labels that repeat an id the largest counts, of documents that repeat one
+the fit takes that of the smallest features; equal texts have equal scores,
+whatever their ids; extra columns are not read, whatever their names; with
+labels of one class only every score is that class's smoothed share, (good +
+1) / (labels + 2), which without any label is 0.5; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pandas, utf8, written
+from .common import map_pandas, text_key, utf8, without, written
 
 SAMPLE = 20_000
 PAIRS = 60_000
@@ -96,8 +101,9 @@ class Ranker:
         tails = np.concatenate((qs, [0.01, 0.05, 0.95, 0.99]))
         self.cuts = np.quantile(x, tails, axis=0) if len(x) else np.zeros((len(tails), 16))
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        self.share, self.both = (len(good) + 1) / (len(y) + 2), len(good) > 0 and len(bad) > 0
         self.weights = np.zeros(16 * (1 + len(tails)))
-        if len(good) and len(bad):
+        if self.both:
             rng = np.random.default_rng(seed)
             z = self.expand(x)
             self._fit(z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)])
@@ -135,7 +141,7 @@ def bounded_sample(train: DataFrame, most: int) -> DataFrame:
     return train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, train: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Ranker:
+def fit(docs: DataFrame, train: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, pairs: int = PAIRS) -> Ranker:
     chosen = written(bounded_sample(train, sample), "quality-sample")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -144,20 +150,22 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str, text_col: str, sample: i
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [features(t) for t in pdf["text"]]})
 
     # The sample has at most ``sample`` rows of 12 bytes, hence the broadcast.
-    rows = map_pandas(plain.join(F.broadcast(chosen), "doc_id"), run, "doc_id long, y int, x array<double>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    rows = map_pandas(plain.join(F.broadcast(chosen), "doc_id"), run, "doc_id long, y int, x array<double>")
+    # One row per id before anything reaches the driver: an id may repeat without bound.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("doc_id", "r.y", "r.x").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, 16)
-    return Ranker(x, rows["y"].to_numpy(np.int64))
+    return Ranker(x, rows["y"].to_numpy(np.int64), pairs)
 
 
 def strengths(docs: DataFrame, ranker: Ranker, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.array([features(t) for t in pdf["text"]], dtype=np.float64).reshape(-1, 16)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "strength": ranker.strength(x)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "strength": ranker.strength(x)})
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_pandas(plain, run, "doc_id long, strength double")
+    text = F.col(text_col)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
+    return map_pandas(plain, run, "doc_id long, key binary, strength double")
 
 
 def threshold(scored: DataFrame, train: DataFrame, grid: int = GRID) -> float:
@@ -177,19 +185,22 @@ def threshold(scored: DataFrame, train: DataFrame, grid: int = GRID) -> float:
     return float((cuts[best[0]] + cuts[best[-1]]) / 2)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", parts: int = 5, held: int = 0, cut: float = CUT, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted, strength: one row per document."""
+def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", parts: int = 5, held: int = 0, cut: float = CUT, sample: int = SAMPLE, pairs: int = PAIRS) -> DataFrame:
+    """doc_id, held_out, score, predicted, strength and key (of the text): one row per document."""
     train = written(labelled(labels, label_col, parts, held), "quality-labels")
-    ranker = fit(docs, train, id_col, text_col, sample)
+    ranker = fit(docs, train, id_col, text_col, sample, pairs)
     scored = written(strengths(docs, ranker, id_col, text_col), "quality-strengths")
-    at = threshold(scored, train)
-    shifted = F.col("strength") - F.lit(at) + F.lit(float(np.log(cut / (1 - cut))))
-    score = F.when(F.col("strength") >= at, F.greatest(F.lit(cut), 1 / (1 + F.exp(-shifted)))).otherwise(F.least(F.lit(float(np.nextafter(cut, 0))), 1 / (1 + F.exp(-shifted))))
+    if ranker.both:
+        at = threshold(scored, train)
+        shifted = F.col("strength") - F.lit(at) + F.lit(float(np.log(cut / (1 - cut))))
+        score = F.when(F.col("strength") >= at, F.greatest(F.lit(cut), 1 / (1 + F.exp(-shifted)))).otherwise(F.least(F.lit(float(np.nextafter(cut, 0))), 1 / (1 + F.exp(-shifted))))
+    else:
+        score = F.lit(float(ranker.share))
     held_out = F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), F.when(score >= cut, 1).otherwise(0).alias("predicted"), "strength")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), F.when(score >= cut, 1).otherwise(0).alias("predicted"), "strength", "key")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier accepts, with all columns."""
-    bad = quality_scores(docs, labels, **options).filter("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[options.get("id_col", "doc_id")].cast("long") == F.col("__bad"), "left_anti")
+    bad = quality_scores(docs, labels, **options).filter("predicted = 0").select("doc_id", "key")
+    return without(docs, bad, options.get("id_col", "doc_id"), options.get("text_col", "text"))

@@ -52,8 +52,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    cut = line_dedup.drop_boilerplate(docs, F.col("source"))
-    return cut.select("doc_id", F.col("__dropped").alias("n_dropped"), "text", F.sha2("text", 256).alias("text_sha256"))
+    cut = line_dedup.drop_boilerplate(docs, F.col("source"), count_as="n_dropped")
+    return cut.select("doc_id", "n_dropped", "text", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +212,8 @@ with l as (
 ), k as (select *, trim(regexp_replace(line, '[\t\x0B\f\r]', ' ', 'g')) bare from l),
 pages as (select coalesce(source, '') site, count(*) pages from documents group by 1),
 bad as (
-  select site, bare from k join pages using (site) where bare <> '' and pages >= 20
-  group by site, bare, pages having count(distinct doc_id) > 0.1 * pages
+  select site, bare from k join pages using (site) where bare <> ''
+  group by site, bare, pages having count(distinct doc_id) >= 2 and count(distinct doc_id) > 0.1 * pages
 ),
 f as (
   select k.doc_id, count(*) filter (bad.bare is not null) n_dropped, coalesce(string_agg(line, chr(10) order by pos) filter (bad.bare is null), '') text

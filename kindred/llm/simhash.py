@@ -295,13 +295,17 @@ def _met(light: DataFrame, of: DataFrame, search, name: str) -> DataFrame:
 
     A key of more than ``GROUP`` nodes, or of more than ``GROUP_SHINGLES``
     (the sum of n), is dealt into groups that share the key's anchors; what
-    they leave apart meets in a second round.
+    they leave apart meets in a second round. Group and anchors follow from the
+    node alone and the number of groups is a power of two, so keys that hold
+    the same nodes, such as the bands of many near copies, deal them alike and
+    find the same edges, which collapse.
     """
-    groups = F.ceil(F.greatest(F.col("m") / F.lit(float(GROUP)), F.least(F.col("m"), F.col("shingles") / F.lit(float(GROUP_SHINGLES))))).cast("int")
+    groups = F.greatest(F.col("m") / F.lit(float(GROUP)), F.least(F.col("m"), F.col("shingles") / F.lit(float(GROUP_SHINGLES))))
+    groups = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(groups)), F.lit(0))).cast("int")
     shared = light.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).filter("m > 1")
     shared = written(shared.select("key", "m", groups.alias("groups")), f"{name}-shared")
-    chance = F.pmod(F.xxhash64("node", "key"), F.col("m"))
-    group = F.when(chance < ANCHORS, F.sequence(F.lit(0), F.col("groups") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "node", F.lit(1)), F.col("groups")).cast("int")))
+    anchor = F.pmod(F.xxhash64("node"), F.lit(1 << 31)) * F.col("m") < F.lit(ANCHORS << 31)
+    group = F.when(anchor, F.sequence(F.lit(0), F.col("groups") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")))
     members = light.join(shared, "key").select("node", "key", F.explode(group).alias("part")).select("node", F.xxhash64("key", "part").alias("bucket"))
     edges = group_pandas(members.join(of, "node"), "bucket", search, "u long, v long")
     large = shared.filter(F.col("groups") > 1)
@@ -353,12 +357,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = written(prints.groupBy("digest", "n", "sketch", "bands").agg(F.min("doc_id").alias("node")), "sketches-distinct")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")  # the least node is the first to link
         ids = pdf["node"].to_numpy(np.int64)
         bins = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(-1, BINS)
         found = np.array(loose_forest(bins), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
         ids = pdf["node"].to_numpy(np.int64)
         found = np.array(exact_forest([np.unique(shingle_hashes(t, size)) for t in pdf["text"]], similarity), dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": ids[found[:, 0]], "v": ids[found[:, 1]]})
@@ -374,9 +380,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents of which each near-duplicate group keeps one, that of the smallest id."""
-    gone = similar_groups(docs, id_col, text_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    """The documents of which each near-duplicate group keeps one, that of the smallest id.
+
+    Rows that share an id are one document and stay or go together; a row with
+    a null id can't be named and stays. Extra columns stay, whatever their names.
+    """
+    gone = similar_groups(docs, id_col, text_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("doc_id")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
 
 
 def hex_of(fp: Column) -> Column:

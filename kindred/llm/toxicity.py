@@ -7,15 +7,21 @@ the two classes. N-grams whose counts differ significantly between the classes
 become the features of a logistic regression; their values are the ratios, so
 a weight near 1 is the naive Bayes answer and training moves it from there.
 
-Fitting uses at most ``SAMPLE`` labelled rows, the first in the order of a
+Fitting uses at most ``sample`` labelled rows, the first in the order of a
 hash of their id. Counts stay distributed: each task counts its own rows and
-the sums meet by n-gram; only the best ``FEATURES`` n-grams reach the driver.
-Scoring runs an Aho-Corasick automaton of the features over whole texts.
+the sums meet by n-gram. The regression takes the n-grams of a z value of at
+least ``least_z`` that ``least_docs`` rows of the sample hold, the ``most``
+most significant ones (parameters of the fit; the README has the measured
+loss against all of them). Scoring runs an Aho-Corasick automaton of the
+features over whole texts.
 
 Defined results: a null or empty text has no feature and the score of the
-intercept; null labels, and labels without a document, are ignored; repeated
-rows give repeated scores; extra columns are not read; without labels of both
-classes every score is 0; an empty table gives an empty result.
+intercept; null labels, and labels without a document, are ignored; of labels
+that repeat an id the largest counts, of documents that repeat one the fit
+takes the smallest text; repeated rows and null ids are scored like any other;
+extra columns are not read, whatever their names; with labels of one class
+only every score is that class's smoothed share, (toxic + 1) / (labels + 2),
+and without any label it is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +42,10 @@ SAMPLE = 20_000
 SIZES = (4, 5, 6)
 FEATURES = 3000
 MIN_DOCS = 5
+LEAST_Z = 4.0
 CUT = 0.3
+#: Tasks that count the n-grams of the sample.
+_TASKS = 96
 _ALPHA = 1.0
 
 
@@ -64,13 +73,13 @@ def gram_counts(sample: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     return found.groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
-def chosen_grams(counts: DataFrame, positives: int, negatives: int, most: int = FEATURES) -> list[tuple[str, float]]:
+def chosen_grams(counts: DataFrame, positives: int, negatives: int, most: int | None = FEATURES, least_docs: int = MIN_DOCS, least_z: float = LEAST_Z) -> list[tuple[str, float]]:
     """The n-grams whose shares differ most, by the z value of two proportions, with their ratios."""
     n, m = max(1, positives), max(1, negatives)
     share = (F.col("p") + F.col("q")) / F.lit(float(n + m))
     z = (F.col("p") / F.lit(float(n)) - F.col("q") / F.lit(float(m))) / F.sqrt(share * (1 - share) * F.lit(1 / n + 1 / m) + F.lit(1e-12))
-    best = counts.filter((F.col("p") + F.col("q")) >= MIN_DOCS).select("gram", "p", "q", F.abs(z).alias("z"))
-    rows = best.filter("z > 4").orderBy(F.desc("z"), "gram").limit(most).collect()
+    best = counts.filter((F.col("p") + F.col("q")) >= least_docs).select("gram", "p", "q", F.abs(z).alias("z")).filter(F.col("z") > least_z).orderBy(F.desc("z"), "gram")
+    rows = (best if most is None else best.limit(most)).collect()
     return [(r["gram"], math.log((r["p"] + _ALPHA) / (n + 2 * _ALPHA)) - math.log((r["q"] + _ALPHA) / (m + 2 * _ALPHA))) for r in rows]
 
 
@@ -93,17 +102,18 @@ class Scanner:
         return sorted({i for _, i in self.machine.iter(f" {(text or '').lower()} ")})
 
 
-def _regression(rows: list[list[int]], y: np.ndarray, ratio: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on ratio-scaled presence, by accelerated gradient steps."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.array([i for r in rows for i in r], dtype=np.int64)
+def _regression(owner: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on ratio-scaled presence, by accelerated gradient steps.
+
+    ``owner`` and ``col`` are row and feature of each entry that is present.
+    """
     value = ratio[col]
-    norm = np.bincount(owner, value**2, minlength=len(rows)).max() + 1 if len(rows) else 1.0
+    norm = np.bincount(owner, value**2, minlength=len(y)).max() + 1 if len(y) else 1.0
     w, b = np.zeros(len(ratio)), 0.0
     vw, vb = w.copy(), b
     step = 4 / (norm + 1)
     for k in range(rounds):
-        z = np.bincount(owner, value * vw[col], minlength=len(rows)) + vb
+        z = np.bincount(owner, value * vw[col], minlength=len(y)) + vb
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         gw = np.bincount(col, value * e[owner], minlength=len(ratio)) / len(y) + ridge * (vw - 1 / max(1, len(ratio)))
         nw, nb = vw - step * gw, vb - step * 50 * e.mean()
@@ -112,32 +122,36 @@ def _regression(rows: list[list[int]], y: np.ndarray, ratio: np.ndarray, rounds:
     return w, b
 
 
-def fit(docs: DataFrame, train: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
+def fit(docs: DataFrame, train: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, **choice) -> tuple[list[str], np.ndarray, float]:
     """Features, their weights (times ratio) and the intercept."""
     chosen = written(bounded_sample(train, sample), "toxicity-sample")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # The sample has at most ``sample`` rows of 12 bytes, hence the broadcast.
-    rows = written(plain.join(F.broadcast(chosen), "doc_id"), "toxicity-rows")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # The sample has at most ``sample`` rows of 12 bytes, hence the broadcast. Of rows that repeat an id one is taken;
+    # equal ones collapse before the shuffle. A fixed number of files keeps the tasks that count many and small.
+    rows = plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = written(rows.repartition(_TASKS, "doc_id"), "toxicity-rows")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
-        return [], np.zeros(0), -50.0
-    found = chosen_grams(gram_counts(rows), sizes[1], sizes[0])
+        return [], np.zeros(0), math.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)) if sizes else -np.inf
+    found = chosen_grams(gram_counts(rows), sizes[1], sizes[0], **choice)
     features, ratio = [g for g, _ in found], np.array([r for _, r in found])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(features)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [scanner.present(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [np.array(scanner.present(t), dtype="<i4").tobytes() for t in pdf["text"]]})
 
-    table = map_pandas(rows, run, "doc_id long, y int, x array<int>").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    w, b = _regression([list(x) for x in table["x"]], table["y"].to_numpy(np.float64), ratio)
+    table = map_pandas(rows, run, "doc_id long, y int, x binary").toPandas().sort_values("doc_id", kind="stable")
+    col = np.frombuffer(b"".join(table["x"]), dtype="<i4")
+    owner = np.repeat(np.arange(len(table), dtype=np.int32), [len(x) // 4 for x in table["x"]])
+    w, b = _regression(owner, col, table["y"].to_numpy(np.float64), ratio)
     return features, w * ratio, b
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", parts: int = 4, held: int = 2, cut: float = CUT, sample: int = SAMPLE) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", parts: int = 4, held: int = 2, cut: float = CUT, sample: int = SAMPLE, most: int | None = FEATURES, least_docs: int = MIN_DOCS, least_z: float = LEAST_Z) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document."""
     train = written(labelled(labels, label_col, parts, held), "toxicity-labels")
-    features, weights, intercept = fit(docs, train, id_col, text_col, sample)
+    features, weights, intercept = fit(docs, train, id_col, text_col, sample, most=most, least_docs=least_docs, least_z=least_z)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(features)
