@@ -57,8 +57,9 @@ def test_decontaminate_matches_brute_force(spark, block_words):
 def test_decontaminate_keeps_repeated_and_null_ids_apart(spark, block_words):
     docs = spark.createDataFrame([(1, "a b", ""), (1, "a b", ""), (1, "x c d", ""), (None, "c d", ""), (None, "z", "")], DOCS)
     bench = spark.createDataFrame([(7, "a b"), (8, "c d")], "item_id long, text string")
+    bench = bench.unionByName(spark.createDataFrame([(None, "z")], bench.schema))
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(docs, bench, block_words=block_words).collect())
-    assert got == [("1", 2, 2, ["7"]), ("1", 2, 2, ["7"]), ("1", 3, 2, ["8"]), ("None", 1, 0, []), ("None", 2, 2, ["8"])]
+    assert got == [("1", 2, 2, ["7"]), ("1", 2, 2, ["7"]), ("1", 3, 2, ["8"]), ("None", 1, 1, []), ("None", 2, 2, ["8"])]
 
 
 def test_decontaminate_of_nothing(spark):
@@ -268,8 +269,30 @@ def test_link_targets_resolve_as_in_browsers(spark):
 def test_line_dedup(spark):
     rows = [(i, "a", f"Menu\nown {i}\n menu2 \n\nMenu\nend") for i in range(18)] + [(100, "a", None), (101, "a", "plain"), (102, "b", "Menu\nx"), (103, None, "Menu\n"), (104, "a", "Menu")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n", F.lit(1))
-    out = line_dedup.drop_boilerplate(df, F.col("source"), ratio=0.5, min_pages=20)
-    got = {r["doc_id"]: (r["text"], r["__dropped"]) for r in out.collect()}
+    out = line_dedup.drop_boilerplate(df, F.col("source"), ratio=0.5, count_as="cut")
+    got = {r["doc_id"]: (r["text"], r["cut"]) for r in out.collect()}
     assert got[3] == ("own 3\n", 4) and got[100] == (None, 0) and got[101] == ("plain", 0) and got[102] == ("Menu\nx", 0) and got[103] == ("Menu\n", 0) and got[104] == ("", 1)
-    assert out.columns == ["doc_id", "source", "text", "n", "__dropped"]
+    assert out.columns == ["doc_id", "source", "text", "n", "cut"]
     assert line_dedup.drop_boilerplate(df.limit(0), F.col("source")).count() == 0
+    three = spark.createDataFrame([(i, "s", f"line {i}") for i in range(3)], "doc_id long, source string, text string")
+    assert {r["text"] for r in line_dedup.drop_boilerplate(three, F.col("source"), ratio=0.2, least=1).collect()} == {""}
+    assert {r["text"] for r in line_dedup.drop_boilerplate(three, F.col("source"), ratio=0.2).collect()} == {"line 0", "line 1", "line 2"}
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_line_dedup_matches_brute_force_on_sites_of_all_sizes(spark, least):
+    rng, rows = random.Random(8), []
+    for size in range(1, 31):
+        for _ in range(size):
+            lines = [rng.choice(["Menu", "About us", " padded\t", "", f"own {rng.randrange(40)}"]) for _ in range(rng.randrange(7))]
+            rows.append((len(rows), f"site{size}", "\n".join(lines)))
+    rows.append((len(rows), "site30", "\n".join(f"line {k}" for k in range(30_000)) + "\nMenu"))
+    pages, seen = {}, {}
+    for _, s, t in rows:
+        pages[s] = pages.get(s, 0) + 1
+        for line in {x.strip(" \t") for x in t.split("\n")} - {""}:
+            seen[s, line] = seen.get((s, line), 0) + 1
+    bad = {k for k, n in seen.items() if n >= least and n > 0.1 * pages[k[0]]}
+    want = {i: "\n".join(x for x in t.split("\n") if (s, x.strip(" \t")) not in bad) for i, s, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(df, F.col("source"), least=least).collect()} == want
