@@ -4,8 +4,10 @@ Set similarities are Column expressions. The four edit ratios have no native
 counterpart (Spark's ``levenshtein`` counts a substitution once, these count
 it twice), so one Arrow UDF returns all four for a pair of columns. It finds
 longest common subsequences bit-parallel over whole batches: one 64-bit state
-per pair (or per window of a pair), advanced by one text position for all of
-them at a time. Patterns of over 64 characters use Python's long integers.
+per pair, advanced by one text position for all of them at a time. Patterns of
+over 64 characters use Python's long integers. The partial ratio needs the
+subsequences of a text with all windows of another one; combing the strands of
+the pair's grid once (semi-local alignment) answers all windows together.
 """
 
 from __future__ import annotations
@@ -111,19 +113,69 @@ def ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
     return np.where(total == 0, 1.0, 2 * lcs_lengths(pairs) / np.maximum(total, 1))
 
 
-def _windows(short: str, long: str) -> list[str]:
-    """Windows of the longer text as long as the shorter, and shorter ones at its ends."""
-    n, m = len(short), len(long)
-    inner = [long[i : i + n] for i in range(m - n + 1)]
-    have = set(short)
-    # A window that the short text shares no border with is not better than one moved to share one.
-    heads = [long[:i] for i in range(1, n) if long[i - 1] in have]
-    tails = [long[m - i :] for i in range(1, n) if long[m - i] in have]
-    return [w for w in inner if w[-1] in have or w[0] in have] + heads + tails
+def _code_points(texts: list[str], length: int, fill: int) -> np.ndarray:
+    """Code points, a column per text, ``fill`` after the end."""
+    out = np.full((length, len(texts)), fill, dtype=np.uint32)
+    for k, t in enumerate(texts):
+        out[: len(t), k] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return out
+
+
+def window_starts(short: list[str], long: list[str]) -> np.ndarray:
+    """For each position of a longer text (rows) of each pair (columns) where the strand that ends there starts, -1 if not in that text.
+
+    Strands enter a pair's grid from the left, one per character of the
+    shorter text, and from above. Two that meet cross unless they did before or the
+    characters agree. Of the window [i, j) of the longer text, as many
+    characters are in no common subsequence as strands start at i or later and
+    end before j. Cells of an anti-diagonal don't depend on each other, so all
+    of them, of all pairs, take one step together.
+    """
+    n, m = max(map(len, short)), max(map(len, long))
+    kind = np.int16 if n + m < 32_000 else np.int32
+    x, y = _code_points(short, n, 0x110000), _code_points(long, m, 0x110001)[::-1]
+    size = np.array([len(t) for t in short])
+    left = (size - np.arange(n)[:, None]).clip(0).astype(kind)  # 0 past the end never crosses
+    above = (size + 1 + np.arange(m)[::-1, None]).astype(kind)
+    for d in range(n + m - 1):
+        i, end = max(0, d - m + 1), min(n, d + 1)
+        k = m - 1 - d + i
+        h, v = left[i:end], above[k : k + end - i]
+        swap = (x[i:end] == y[k : k + end - i]) | (h > v)
+        h[:], v[:] = np.where(swap, v, h), np.where(swap, h, v)
+    return np.maximum(above[::-1].astype(np.int64) - size - 1, -1)
+
+
+def _best_windows(short: list[str], long: list[str]) -> np.ndarray:
+    """The best ratio of each shorter text with a window of its length, a shorter head or a shorter tail of the longer one."""
+    starts = window_starts(short, long)
+    m, pairs = starts.shape
+    n, size = np.array([len(t) for t in short]), np.array([len(t) for t in long])
+    at = np.arange(m)[:, None]
+    real = (starts >= 0) & (at < size)
+    end, pair = np.nonzero(real)
+    start = starts[end, pair]
+
+    def total(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.bincount(rows * pairs + of, minlength=(m + 1) * pairs).reshape(m + 1, pairs)
+
+    head = at + 1 - np.cumsum(real, axis=0)  # subsequence with the first at + 1 characters
+    heads = np.where(at + 1 < np.minimum(n, size + 1), 2 * head / (n + at + 1), 0)
+    later = np.cumsum(total(start, pair)[m - 1 :: -1], axis=0)[::-1]
+    tails = np.where((size - at < n) & (at < size), 2 * (size - at - later) / np.maximum(n + size - at, 1), 0)
+    low, high = np.maximum(0, end - n[pair] + 1), np.minimum(start, (size - n)[pair])
+    some = low <= high
+    gone = np.cumsum(total(low[some], pair[some]) - total(high[some] + 1, pair[some]), axis=0)[:m]
+    inner = np.where(at <= size - n, (n - gone) / n, 0)
+    return np.maximum(np.maximum(heads, tails), inner).max(axis=0)
+
+
+#: Cells of the grids of one batch.
+_CELLS = 1 << 23
 
 
 def partial_ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """The best ratio of the shorter text with a window of the longer one."""
+    """The best ratio of the shorter text with a window of the longer one; of texts of equal length, either way."""
     out = np.zeros(len(pairs))
     todo: list[tuple[int, str, str]] = []
     for i, (a, b) in enumerate(pairs):
@@ -135,14 +187,13 @@ def partial_ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
             todo.append((i, *((a, b) if len(a) <= len(b) else (b, a))))
             if len(a) == len(b):
                 todo.append((i, b, a))
-    for k in range(0, len(todo), 512):
-        owner, work = [], []
-        for i, short, long in todo[k : k + 512]:
-            found = _windows(short, long)
-            owner += [i] * len(found)
-            work += [(short, w) for w in found]
-        if work:
-            np.maximum.at(out, owner, ratios(work))
+    todo.sort(key=lambda t: (len(t[2]), len(t[1])))
+    while todo:
+        # Longest first: the batch's grids are as large as its first pair's.
+        cells = len(todo[-1][1]) * len(todo[-1][2])
+        part = todo[-max(1, min(8192, _CELLS // cells)) :]
+        del todo[-len(part) :]
+        np.maximum.at(out, [i for i, *_ in part], _best_windows([a for _, a, _ in part], [b for *_, b in part]))
     return out
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import DEFAULT, ModelConfig
@@ -21,6 +21,7 @@ from .plans import evaluation as E
 from .plans import features as X
 from .plans import model, profiling, resolve, service, validation
 from .sources import records
+from .storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 THRESHOLD = 0.5
@@ -97,8 +98,9 @@ def er_blocking_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def er_missed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True pairs that a subset of the strategies loses: records without country have no key of name and country."""
     s1, targets = sources(spark, sf_dir)
-    return E.missed_pairs(B.candidates(s1, targets, strategies=("address_token", "rare_token")), truth(spark, sf_dir))
+    return E.missed_pairs(B.candidates(s1, targets, strategies=("name_country",)), truth(spark, sf_dir))
 
 
 def er_features_native(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +133,9 @@ def er_dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def er_feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active block signals and the sum of each feature group of every candidate."""
-    found = X.pairwise_features(*union(spark, sf_dir), native_only=True)
-    sums = service.feature_table(found, S, T).groupBy(S, T, "group").agg(F.round(F.sum("value"), 3).alias("total"))
-    return sums.filter("group in ('blocking', 'country')")
+    """The sum of each feature group of every candidate."""
+    found = X.pairwise_features(*union(spark, sf_dir))
+    return service.feature_table(found, S, T).groupBy(S, T, "group").agg(F.round(F.sum("value"), 4).alias("total"))
 
 
 def er_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,19 +251,101 @@ def er_match_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(trained, asked).select(S, T, F.round("match_probability", 6).alias("match_probability"))
 
 
-def er_resolve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bridge(spark, sf_dir)
     first = F.col("entity_id").startswith("S1_")
-    targets = text.normalized(rows.filter(~first)).persist()
-    found = resolve.resolve(rows.filter(first), targets, model.deterministic_score, THRESHOLD)
+    targets = text.normalized(rows.filter(~first)).withColumn("source", F.substring("entity_id", 1, 2)).persist()
+    return resolve.resolve(rows.filter(first), targets, model.deterministic_score, THRESHOLD)
+
+
+def er_resolve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _resolved(spark, sf_dir)
     return found.select(S, "is_singleton", "matches_count", "candidates_count", F.array_join("matched_ids", ",").alias("matched_ids"))
 
 
+def er_resolve_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of every reply with its place, signals and similarity summary."""
+    m = _resolved(spark, sf_dir).select(S, "threshold_applied", F.posexplode("matches").alias("place", "m"))
+    return m.select(
+        S, "threshold_applied", "place", F.col(f"m.{T}").alias(T), "m.business_name", "m.business_address", "m.country", "m.source", "m.match_probability", "m.is_match", "m.num_blocks_hit",
+        *(F.col("m.blocking_signals")[n].alias(f"signal_{n}") for n in FLAGS), *(F.col("m.similarity_summary")[n].alias(n) for n in resolve.SUMMARY),
+    )
+
+
 def er_compare_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = sources(spark, sf_dir, normal=False)
     pairs = records.truth_pairs(truth(spark, sf_dir)).distinct()
-    found = resolve.compare_pairs(left, right, pairs, model.deterministic_score, THRESHOLD, native_only=True)
-    return found.select(S, T, "match_probability", "predicted_same_business", F.col("features")["f_addr_jaccard"].alias("f_addr_jaccard"), F.col("features")["f_num_blocks"].alias("f_num_blocks"))
+    found = resolve.compare_pairs(left, right, pairs, model.deterministic_score, THRESHOLD)
+    return found.select(S, T, "match_probability", "predicted_same_business", "decision_threshold", *(F.col("features")[f].alias(f) for f in X.FEATURES))
+
+
+def _odd_names(rows: DataFrame) -> DataFrame:
+    """Names with quotes, outer spaces, NA and nothing, which tables have to give back unchanged."""
+    k, name = F.substring("entity_id", -1, 1), F.col("business_name")
+    odd = F.when(k == "1", F.concat(F.lit('"'), name)).when(k == "2", F.concat(F.lit(" "), name, F.lit('" '))).when(k == "3", "NA").when(k == "4", "").otherwise(name)
+    return rows.withColumn("business_name", odd)
+
+
+def er_tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three train tables and their truth, written and loaded again with all checks."""
+    at, rows = shared_folder(spark, "tsv"), _odd_names(bridge(spark, sf_dir))
+    for i in (1, 2, 3):
+        records.write_tsv(rows.filter(F.col("entity_id").startswith(f"S{i}_")), f"{at}/train_source{i}.tsv")
+    records.write_tsv(truth(spark, sf_dir).select(S, F.array_join("matched", ", ").alias("matched_entity_ids")), f"{at}/train_ground_truth.tsv")
+    *tables, true = records.read_train(spark, at)
+    listed = records.parse_truth(true).select(F.col(S).alias("entity_id"), F.array_join("matched", ",").alias("matched_ids"))
+    loaded = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return loaded.join(listed, "entity_id", "left").na.fill("", ["matched_ids"])
+
+
+def er_truth_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with spaces, gaps, repeats and words for none."""
+    k, m = F.substring(S, -1, 1), F.array_join("matched", ",")
+    text_ = F.when(k == "1", F.concat(F.lit(" x , y,,x,"), m)).when(k == "3", " NaN ").when(k == "5", "None").when(k == "7", "").otherwise(m)
+    return _joined(records.parse_truth(truth(spark, sf_dir).select(S, text_.alias("matched_entity_ids"))))
+
+
+def er_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bridge(spark, sf_dir)
+    return records.repeated_ids(rows.unionByName(rows.filter(F.col("entity_id").endswith("5"))).unionByName(rows.filter(F.col("entity_id").endswith("55"))))
+
+
+def er_matching_results_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both result files, written and read; the validator finds nothing in them."""
+    at = shared_folder(spark, "results")
+    found, s1 = scored(spark, sf_dir)
+    targets = sources(spark, sf_dir)[1]
+    records.write_matching_results(E.predictions(found, s1, THRESHOLD), s1, f"{at}/matching_results.tsv")
+    records.write_candidate_pairs(found, f"{at}/candidate_pairs.tsv")
+    matching, pairs = records.read_tsv(spark, f"{at}/matching_results.tsv"), records.read_tsv(spark, f"{at}/candidate_pairs.tsv")
+    reply = service.validation_reply(matching, pairs, s1, targets)
+    return matching.join(reply.select("is_valid", "candidate_pairs", F.size("errors").alias("errors")))
+
+
+def er_validation_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and first violations of a result whose matches of some records are strangers."""
+    found, s1, targets = union(spark, sf_dir)
+    lists = truth(spark, sf_dir).select(S, F.when(F.substring(S, -1, 1) == "3", "S9_0").otherwise(F.array_join("matched", ",")).alias("matched_entity_ids"))
+    reply = service.validation_reply(lists, found, s1, targets)
+    return reply.select("is_valid", "entities", "with_matches", "singletons", "total_pairs", "candidate_pairs", F.array_join("errors", "|").alias("errors"))
+
+
+def er_first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five false positives and false negatives, as the error report shows them."""
+    found = er_errors(spark, sf_dir)
+    return found.withColumn("k", F.row_number().over(Window.partitionBy("error").orderBy(S, T))).filter("k <= 5")
+
+
+def er_experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of one run per source, appended row by row and read again."""
+    at, rows = f"{shared_folder(spark, 'log')}/experiments.csv", bridge(spark, sf_dir)
+    for r in rows.groupBy(F.substring("entity_id", 1, 2).alias("k")).count().orderBy("k").collect():  # three rows by construction
+        records.append_log(spark, at, {"version": r["k"], "day": 1, "timestamp": "2026-01-01 00:00:00", "change": 'a "quoted", change', "candidate_recall": r["count"], "decision": "Iterate"})
+    return records.read_log(spark, at).select("version", "day", "timestamp", "change", "candidate_recall", "decision", "notes")
+
+
+def er_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service.health(sources(spark, sf_dir, normal=False)[1], False, "v1", 0.3)
 
 
 QUERIES: dict[str, Query] = {
@@ -387,6 +470,58 @@ fx as materialized (
 sc as materialized (select s, t, round((f_name_jaccard + f_name_ngram_jaccard + f_addr_jaccard + f_name_len_ratio) / 4, 6) p from fx)"""
 
 
+# The edit ratios in plain SQL: longest common subsequences as bit sets, one list step per character, for the distinct
+# pairs of texts, and for every window of the longer text that the partial ratio tries.
+_RATIOS = r"""
+pr as materialized (
+  select *, list_filter(x, lambda t: not list_contains(y, t)) xo, list_filter(y, lambda t: not list_contains(x, t)) yo, list_intersect(x, y) xy from (
+    select a, b, list_filter(string_split_regex(a, '\s+'), lambda t: t <> '') xs, list_filter(string_split_regex(b, '\s+'), lambda t: t <> '') ys, list_distinct(xs) x, list_distinct(ys) y
+    from (select n1 a, n2 b from fr union select a1, a2 from fr))
+),
+pt as materialized (
+  select a, b, array_to_string(list_sort(xs), ' ') sa, array_to_string(list_sort(ys), ' ') sb, array_to_string(list_sort(xo), ' ') da, array_to_string(list_sort(yo), ' ') db,
+         length(array_to_string(xy, ' ')) shared, len(x) = 0 or len(y) = 0 bare, a <> '' and b <> '' and not contains(a, b) and not contains(b, a) apart from pr
+),
+lg as (select a, b, length(b) m, length(a) n from (select a, b, apart from pt where length(a) <= length(b) union select b, a, apart from pt where length(b) <= length(a)) where apart),
+wd as materialized (
+  select distinct a, b, w from (
+    select a, b, substr(b, unnest(range(1, m - n + 2)), n) w from lg union all select a, b, left(b, unnest(range(1, n))) from lg union all select a, b, right(b, unnest(range(1, n))) from lg)
+),
+ask as materialized (
+  select distinct case when length(u) <= length(v) then u else v end s, case when length(u) <= length(v) then v else u end l
+  from (select a u, b v from pt union select sa, sb from pt union select da, db from pt union select a, w from wd) where u <> '' and v <> ''
+),
+bits as materialized (
+  select s, map_from_entries(list((c, k))) spots, max(whole) whole from (
+    select s, c, sum(1::hugeint << (i - 1)::int)::hugeint k, max((1::hugeint << length(s)) - 1) whole
+    from (select s, unnest(string_split(s, '')) c, generate_subscripts(string_split(s, ''), 1) i from (select distinct s from ask)) group by 1, 2) group by 1
+),
+lcs as materialized (
+  select s, l, length(s) - bit_count(list_reduce(list_prepend(whole, list_transform(string_split(l, ''), lambda c: coalesce(spots[c], 0::hugeint))),
+    lambda z, k: ((z + (z & k)) | (z - (z & k))) & whole)) n from ask join bits using (s)
+),
+both_ways as (select s u, l v, n from lcs union select l, s, n from lcs),
+best as (select a, b, max(2 * n / (length(a) + length(w))) r from wd join both_ways on u = a and v = w group by 1, 2),
+rt as materialized (
+  select pt.a, pt.b, case when pt.a = '' and pt.b = '' then 1 else 2 * coalesce(p.n, 0) / (length(pt.a) + length(pt.b)) end "ratio",
+    case when pt.a = '' and pt.b = '' then 1 when pt.a = '' or pt.b = '' then 0 when not apart then 1 else greatest(coalesce(f.r, 0), coalesce(g.r, 0)) end partial_ratio,
+    case when sa = '' and sb = '' then 1 else 2 * coalesce(q.n, 0) / (length(sa) + length(sb)) end token_sort_ratio,
+    case when bare then 0 when shared > 0 and (da = '' or db = '') then 1
+      when shared > 0 then greatest(1 - (length(da) + length(db) - 2 * coalesce(r.n, 0)) / (2 * (shared + 1) + length(da) + length(db)),
+        1 - (1 + length(da)) / (2 * shared + 1 + length(da)), 1 - (1 + length(db)) / (2 * shared + 1 + length(db)))
+      else 1 - (length(da) + length(db) - 2 * coalesce(r.n, 0)) / (length(da) + length(db)) end token_set_ratio
+  from pt left join both_ways p on p.u = pt.a and p.v = pt.b left join both_ways q on q.u = sa and q.v = sb left join both_ways r on r.u = da and r.v = db
+    left join best f on f.a = pt.a and f.b = pt.b left join best g on g.a = pt.b and g.b = pt.a
+),
+fe as materialized (
+  select fx.*, x."ratio" f_name_fuzz_ratio, x.partial_ratio f_name_partial_ratio, x.token_sort_ratio f_name_token_sort_ratio, x.token_set_ratio f_name_token_set_ratio,
+    y."ratio" f_addr_fuzz_ratio, y.partial_ratio f_addr_partial_ratio, y.token_sort_ratio f_addr_token_sort_ratio, y.token_set_ratio f_addr_token_set_ratio,
+    x.token_set_ratio * y.token_set_ratio f_name_addr_mult, (x.token_set_ratio + y.token_set_ratio) / 2 f_name_addr_mean,
+    case when x.token_set_ratio + y.token_set_ratio > 0 then 2 * x.token_set_ratio * y.token_set_ratio / (x.token_set_ratio + y.token_set_ratio) else 0 end f_name_addr_harmonic,
+    (x.token_set_ratio > 0.85 and y.token_set_ratio < 0.35)::int::double f_name_high_addr_low, (y.token_set_ratio > 0.85 and x.token_set_ratio < 0.35)::int::double f_addr_high_name_low
+  from fx join fr using (s, t) join rt x on x.a = n1 and x.b = n2 join rt y on y.a = a1 and y.b = a2
+)"""
+
 _S, _T = f"s as {S}", f"t as {T}"
 
 
@@ -420,6 +555,12 @@ _LISTS = f"pl as (select s1.entity_id s, string_agg(t, ',' order by p desc, t) m
 _BRIDGE = f"with {_NORM}"
 _TM = "tm as (select s1.entity_id s, count(t) k, string_agg(t, ',' order by t) m from s1 left join tp on tp.s = s1.entity_id group by 1)"
 
+_GROUPS = {
+    "interaction": [f for f in X.FEATURES if f.startswith("f_name_addr") or f in ("f_name_high_addr_low", "f_addr_high_name_low")],
+    **{g: [f for f in X.FEATURES if f.startswith(p) and f not in X.MIXED] for g, p in (("name", "f_name"), ("address", "f_addr"), ("country", "f_country"))},
+    "blocking": [f for f in X.FEATURES if f.startswith(("f_block", "f_tfidf", "f_num"))],
+}
+
 ORACLE_SQL: dict[str, str] = {
     "er_normalize": f"""{_BRIDGE} select entity_id, nn business_name_norm, nc business_name_core, array_to_string(nt, ' ') business_name_tokens, an business_address_norm,
         array_to_string(ats, ' ') business_address_tokens, cn country_norm from n""",
@@ -433,9 +574,10 @@ ORACLE_SQL: dict[str, str] = {
         f5 blocked_by_rare_token, round(sim, 6) tfidf_similarity, f1 + f2 + f3 + f4 + f5 num_blocks_hit from u""",
     "er_blocking_recall": f"""{_FULL} select (select count(*) from u) num_candidates, count(*) total_positives, count(u.s) recalled_positives,
         round(count(u.s) / greatest(1, count(*)), 6) recall, count(*) - count(u.s) missed from tp left join u using (s, t)""",
-    "er_missed_pairs": f"{_FULL} select {_S}, {_T} from tp where not exists (select 1 from (select * from e3 union select * from e5) c where c.s = tp.s and c.t = tp.t) order by 1, 2 limit 10",
+    "er_missed_pairs": f"{_FULL} select {_S}, {_T} from tp where not exists (select 1 from e2 where e2.s = tp.s and e2.t = tp.t) order by 1, 2 limit 10",
     "er_features_native": f"{_SCORED} select {_S}, {_T}, " + ", ".join(f"round({f}, 6) {f}" for f in X.NATIVE) + " from fx",
-    "er_pair_labels": f"{_FULL} select {_S}, {_T}, (tp.s is not null)::int as label from u left join tp using (s, t)".replace("tp.s is not null", "exists (select 1 from tp where tp.s = u.s and tp.t = u.t)").replace(" left join tp using (s, t)", ""),
+    "er_features_ratio": f"{_SCORED}, {_RATIOS} select {_S}, {_T}, " + ", ".join(f"round({f}, 6) {f}" for f in X.FEATURES) + " from fe",
+    "er_pair_labels": f"{_FULL} select {_S}, {_T}, (exists (select 1 from tp where tp.s = u.s and tp.t = u.t))::int as label from u",
     "er_class_weight": f"{_FULL} select round(greatest(1, 0.8 * count(*) filter (not y) / greatest(1, count(*) filter (y))), 6)::double class_weight from (select exists (select 1 from tp where tp.s = u.s and tp.t = u.t) y from u)",
     "er_hard_negatives": f"""{_FULL} select {_S}, {_T}, k num_blocks_hit, 0 as label from (
         select *, f1 + f2 + f3 + f4 + f5 k, row_number() over (partition by s order by f1 + f2 + f3 + f4 + f5 desc, sim desc, t) r
@@ -443,8 +585,7 @@ ORACLE_SQL: dict[str, str] = {
     "er_dataset_stats": f"""{_BRIDGE}, {_TM}, k as (select count(*) filter (starts_with(entity_id, 'S1_')) a, count(*) filter (starts_with(entity_id, 'S2_')) b, count(*) filter (starts_with(entity_id, 'S3_')) c from n)
         select count(*) num_train_gt, sum(k)::bigint positive_pairs, count(*) filter (k = 0) singletons, (select a from k) num_train_s1, (select b from k) num_train_s2, (select c from k) num_train_s3,
         (select a from k) num_test_s1, (select b from k) num_test_s2, (select c from k) num_test_s3 from tm""",
-    "er_feature_groups": f"""{_SCORED} select {_S}, {_T}, unnest(['blocking', 'country']) as "group", round(unnest([
-        f_block_exact_name + f_block_nc + f_block_addr + f_block_tfidf + f_block_rare + round(f_tfidf_sim, 4) + f_num_blocks, f_country_match + f_country_missing + f_country_conflict]), 3) total from fx""",
+    "er_feature_groups": f"{_SCORED}, {_RATIOS} select {_S}, {_T}, unnest({list(_GROUPS)}) as \"group\", round(unnest([{', '.join(' + '.join(f'round_even({f}, 4)' for f in g) for g in _GROUPS.values())}]), 4) total from fe",
     "er_negatives": f"""{_BRIDGE}, ti as (select entity_id t, row_number() over (order by substr(md5(entity_id || '|t'), 1, 3), entity_id) - 1 i from tg),
         dr as (select entity_id s, a, ('0x' || substr(md5(entity_id || '|' || a), 1, 12))::bigint % (select count(*) from tg) i from s1, range(1, 11) r(a)),
         pk as (select s, t, min(a) a from dr join ti using (i) where not exists (select 1 from tp where tp.s = dr.s and tp.t = ti.t) group by 1, 2)
@@ -488,6 +629,26 @@ ORACLE_SQL: dict[str, str] = {
         union all select 'unknown_match', s, t from mp where t not in (select entity_id from tg)
         union all select 'match_not_candidate', s, t from mp where not exists (select 1 from u where u.s = mp.s and u.t = mp.t)""",
     "er_resolve_batch": f"""{_SCORED}, {_LISTS} select pl.s as {S}, k = 0 is_singleton, k::int matches_count, (select count(*) from u where u.s = pl.s)::int candidates_count, coalesce(m, '') matched_ids from pl""",
-    "er_compare_pair": f"""{_FULL}, cp as (select s, t, 1 f1, 1 f2, 1 f3, 1 f4, 1 f5, 1.0::double sim from tp), {_feature_sql('cp')}
-        select {_S}, {_T}, round(p, 4) match_probability, p >= {THRESHOLD} predicted_same_business, round(f_addr_jaccard, 4) f_addr_jaccard, f_num_blocks from fx join sc using (s, t)""",
+    # Half-even on the decimal digits of the score, which has six.
+    "er_resolve_matches": f"""{_SCORED}, {_RATIOS} select {_S}, {THRESHOLD}::double threshold_applied, (row_number() over (partition by s order by p desc, t) - 1)::int place, {_T}, business_name, business_address,
+        country, left(t, 2) source, round_even(round(p * 1000000) / 100, 0) / 10000 match_probability, p >= {THRESHOLD} is_match, f1 + f2 + f3 + f4 + f5 num_blocks_hit, f1 signal_exact_name, f2 signal_name_country, f3 signal_address_token,
+        f4 signal_tfidf_ngram, f5 signal_rare_token, {', '.join(f'round_even({f}, 4) {n}' for n, f in resolve.SUMMARY.items())} from fe join sc using (s, t) join u using (s, t) join n on n.entity_id = t""",
+    "er_compare_pair": f"""{_FULL}, cp as (select s, t, 1 f1, 1 f2, 1 f3, 1 f4, 1 f5, 1.0::double sim from tp), {_feature_sql('cp')}, {_RATIOS}
+        select {_S}, {_T}, round_even(round(p * 1000000) / 100, 0) / 10000 match_probability, p >= {THRESHOLD} predicted_same_business, {THRESHOLD}::double decision_threshold, {', '.join(f'round_even({f}, 4) {f}' for f in X.FEATURES)} from fe join sc using (s, t)""",
+    "er_tsv_round_trip": f"""{_BRIDGE}, {_TM} select entity_id, case right(entity_id, 1) when '1' then '"' || business_name when '2' then ' ' || business_name || '" ' when '3' then 'NA' when '4' then '' else business_name end business_name,
+        business_address, country, coalesce(m, '') matched_ids from n left join tm on tm.s = entity_id""",
+    "er_truth_parse": f"""{_BRIDGE}, {_TM} select {_S}, case right(s, 1) when '1' then 'x,y' || coalesce(',' || m, '') when '3' then '' when '5' then '' when '7' then '' else coalesce(m, '') end matched_ids from tm""",
+    "er_repeated_ids": f"{_BRIDGE} select entity_id, case when entity_id like '%55' then 3 else 2 end::bigint n from n where entity_id like '%5'",
+    "er_matching_results_file": f"{_SCORED}, {_LISTS} select {_S}, coalesce(m, '') matched_entity_ids, true is_valid, (select count(*) from u) candidate_pairs, 0 as errors from pl",
+    "er_validation_reply": f"""{_FULL}, {_TM}, mr as (select s, case right(s, 1) when '3' then 'S9_0' else coalesce(m, '') end m, case right(s, 1) when '3' then 1 else k end k from tm),
+        mp as (select s, unnest(string_split(m, ',')) t from mr where m <> ''),
+        vi as (select 'unknown_match' as rule, s, t from mp where t not in (select entity_id from tg) union all select 'match_not_candidate', s, t from mp where not exists (select 1 from u where u.s = mp.s and u.t = mp.t))
+        select (select count(*) from vi) = 0 is_valid, count(*) entities, count(*) filter (k > 0) with_matches, count(*) filter (k = 0) singletons, sum(k)::bigint total_pairs, (select count(*) from u) candidate_pairs,
+        (select string_agg(x, '|' order by x) from (select rule || ' ' || s || ' ' || t x from vi order by rule, s, t limit 10)) errors from mr""",
+    "er_first_errors": f"""{_SCORED}, x as (select s, t from sc where p >= 0.7), er as (
+        select s, t, 'FP' as error, true blocked from x where not exists (select 1 from tp where tp.s = x.s and tp.t = x.t)
+        union all select s, t, 'FN', exists (select 1 from u where u.s = tp.s and u.t = tp.t) from tp where not exists (select 1 from x where x.s = tp.s and x.t = tp.t))
+        select {_S}, {_T}, error, blocked, k::int k from (select *, row_number() over (partition by error order by s, t) k from er) where k <= 5""",
+    "er_experiment_log": f"""{_BRIDGE} select left(entity_id, 2) "version", '1' as "day", '2026-01-01 00:00:00' as "timestamp", 'a "quoted", change' as change, count(*)::varchar candidate_recall, 'Iterate' as decision, '' notes from n group by 1""",
+    "er_health": f"{_BRIDGE} select 'healthy' as status, false model_loaded, 'v1' as model_version, 0.3::double threshold, count(*) target_records from tg",
 }

@@ -120,3 +120,23 @@ def test_ratios_are_bounded_and_symmetric():
         x, y = f(data), f(back)
         assert ((x >= 0) & (x <= 1)).all()
         assert x.tolist() == pytest.approx(y.tolist())
+
+
+def test_partial_ratio_is_the_best_window():
+    rng = random.Random(3)
+
+    def brute(a, b):
+        if not a or not b:
+            return float(not a and not b)
+        best, sides = 0, [(a, b), (b, a)] if len(a) == len(b) else [sorted((a, b), key=len)]
+        for s, t in sides:
+            n = len(s)
+            windows = [t[i : i + n] for i in range(len(t) - n + 1)] + [t[:k] for k in range(1, n)] + [t[len(t) - k :] for k in range(1, n)]
+            best = max(best, *(2 * similarity.lcs_length(s, w) / (n + len(w)) for w in windows))
+        return best
+
+    pairs = [("x" * 70 + "abc", "y" * 100 + "bcz"), ("", ""), ("", "a"), ("é株", "xé株y")]
+    for _ in range(600):
+        letters = rng.choice(["ab", "abc ", "abcdefgh é"])
+        pairs.append(tuple("".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice([3, 12, 40])))) for _ in range(2)))
+    assert similarity.partial_ratios(pairs) == pytest.approx([brute(*p) for p in pairs], abs=1e-12)
