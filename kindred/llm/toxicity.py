@@ -44,7 +44,7 @@ FEATURES = 3000
 MIN_DOCS = 5
 LEAST_Z = 4.0
 CUT = 0.3
-#: Tasks that count the n-grams of the sample.
+#: Tasks that count the n-grams of the sample, at most.
 _TASKS = 96
 _ALPHA = 1.0
 
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str, text_col: str, sample: i
     # The sample has at most ``sample`` rows of 12 bytes, hence the broadcast. Of rows that repeat an id one is taken;
     # equal ones collapse before the shuffle. A fixed number of files keeps the tasks that count many and small.
     rows = plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    rows = written(rows.repartition(_TASKS, "doc_id"), "toxicity-rows")
+    rows = written(rows.repartition(max(1, min(_TASKS, chosen.count() // 200)), "doc_id"), "toxicity-rows")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return [], np.zeros(0), math.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)) if sizes else -np.inf
@@ -157,7 +157,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
         scanner = Scanner(features)
         for pdf in batches:
             z = np.array([weights[scanner.present(t)].sum() + intercept for t in pdf["text"]], dtype=np.float64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(z, -500, 500)))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": np.where(np.isneginf(z), 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))})
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scored = map_pandas(plain, run, "doc_id long, score double")
