@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -140,6 +141,49 @@ def test_bm25_prefers_shared_rare_words():
     assert packing.Bm25(docs).neighbours(3).tolist() == []
 
 
+def test_windows_hold_the_best_unused_neighbours():
+    """The greedy fill against plain BM25 scores over all words."""
+    rng = random.Random(2)
+    docs = [np.array([rng.randrange(40) if rng.random() < 0.5 else 100 + 10 * (k % 6) + rng.randrange(10) for _ in range(rng.randrange(5, 30))], dtype=np.uint64) for k in range(60)]
+    sets, mean = [d.tolist() for d in docs], sum(map(len, docs)) / len(docs)
+
+    def score(q, d):
+        total = 0
+        for w in set(sets[q]):
+            df = sum(w in s for s in sets)
+            tf = sets[d].count(w)
+            total += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) if tf and df > 1 else 0
+        return total
+
+    index = packing.Bm25(docs)
+    for q in range(0, 60, 7):
+        want = sorted((d for d in range(60) if score(q, d)), key=lambda d: (-round(score(q, d), 9), d))
+        assert index.neighbours(q).tolist() == want
+    used = [0] * 60
+    for pieces in packing.fill(np.array([len(d) for d in docs]), index, 64):
+        seed, at = pieces[0][0], 0
+        for d, a, b in pieces[1:]:  # no unused neighbour that scores higher is passed over
+            free = [x for x in range(60) if used[x] < len(docs[x]) and x not in {p[0] for p in pieces[: at + 1]}]
+            if score(seed, d):
+                assert score(seed, d) >= max(score(seed, x) for x in free) - 1e-9
+            at += 1
+        for d, _, b in pieces:
+            used[d] = b
+    assert used == [len(d) for d in docs]
+
+
+def test_lexical_routing_brings_copies_together(spark):
+    rng = random.Random(5)
+    words = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    texts = [t for t in (words() for _ in range(100)) for t in (t, t + " own end")]
+    pieces = packing.tokenised(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS), "doc_id", "text", 1024, packing.default_vocabulary())
+    home = {r["doc_id"]: r["shard"] for r in packing.dealt(pieces, 2000).collect()}
+    assert len(set(home.values())) > 15 and sum(home[i] == home[i + 1] for i in range(0, 200, 2)) > 85
+    same = spark.createDataFrame([(None, texts[0], "")] * 300, DOCS)  # one hot key, null ids
+    shards = packing.dealt(packing.tokenised(same, "doc_id", "text", 1024, packing.default_vocabulary()), 10_000).groupBy("shard").count().collect()
+    assert len(shards) >= 6 and max(r["count"] for r in shards) < 100
+
+
 # --- licences ----------------------------------------------------------------
 
 
