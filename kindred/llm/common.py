@@ -147,8 +147,10 @@ def map_pandas(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def group_pandas(df: DataFrame, key: str, run, schema: str) -> DataFrame:
-    ensure_shipped(df.sparkSession)
-    return df.groupBy(key).applyInPandas(run, schema)
+    """Groups go to as many tasks as the session has shuffle partitions: their work is more than their bytes say, so these must not be coalesced."""
+    spark = df.sparkSession
+    ensure_shipped(spark)
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).groupBy(key).applyInPandas(run, schema)
 
 
 def sub_batches(batches, size_of, limit: int = 8 << 20):
