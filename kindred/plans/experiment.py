@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from ..config import DEFAULT, Config
@@ -14,12 +13,13 @@ from ..sources import records
 from . import evaluation as E
 from . import model as M
 from . import validation
+from .boosting import Trees
 from .features import FEATURES, pairwise_features
 
 
 @dataclass
 class Trained:
-    model: PipelineModel
+    model: Trees
     threshold: float
     sweep: DataFrame
     scores: DataFrame
@@ -44,7 +44,7 @@ def train(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth: DataFrame, config:
     return Trained(fitted, chosen, sweep, scores, E.blocking_recall(found, held))
 
 
-def predict(model: PipelineModel | None, threshold: float, s1: DataFrame, s2: DataFrame, s3: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def predict(model: Trees | None, threshold: float, s1: DataFrame, s2: DataFrame, s3: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(matching results, candidate pairs) of test tables; both static in schema, empty input included."""
     n1, targets = normalized(s1).persist(), normalized(s2.unionByName(s3)).persist()
     found = candidates(n1, targets, config.blocking).persist()
