@@ -10,6 +10,9 @@ Only then the maximal conversations are rendered.
 Both sides of the anti-join are made distinct by a map-side combine, so a
 first turn that a third of all conversations share is one row per task.
 
+A conversation is one row of the result, so the turns of one are ordered and
+rendered in one task; sorting spills.
+
 Defined results: a null role or text counts as empty; null turns come first;
 turns with the same number are ordered by role, then text; repeated rows are
 repeated turns; rows without conversation id are left out; extra columns are
@@ -21,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 _PARTS = ("_p0", "_p1", "_p2", "_p3")
 
 
@@ -50,7 +55,7 @@ def maximal(t: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame, open_tag: str = "<|", close_tag: str = "|>\n", end: str = "\n") -> DataFrame:
     """conv_id, n_turns, n_copies, chat: one row per maximal conversation."""
-    hashed = turns(conversations)
+    hashed = written(turns(conversations), "turns")  # read three times below
     keep = maximal(hashed)
     plain = hashed.select("conv_id", "pos", "role", "text")
     rendered = plain.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("_t"))
