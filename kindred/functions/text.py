@@ -44,7 +44,8 @@ PUNCTUATION = r"""[\.,;:!\?\"'’`\(\)\[\]\{\}<>\\/\|\-_+=~*^&#@$%]"""
 # Tokens that a core name leaves out.
 LEGAL_TOKENS = ("ltd", "limited", "inc", "corp", "llc", "llp", "gmbh", "pvt", "pty", "pte", "co", "bv", "sa", "ag")
 
-# Expansions of tokens in names and in addresses.
+# Expansions of tokens in names and in addresses. Keys with punctuation (an abbreviation with a point, the
+# ampersand) are left out, as tokens hold none when they are looked up.
 NAME_EXPANSIONS = {
     "tech": "technologies",
     "techno": "technologies",

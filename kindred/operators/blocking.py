@@ -23,6 +23,7 @@ from ..shipping import ensure_shipped
 
 S, T = "source1_entity_id", "candidate_entity_id"
 STRATEGIES = ("exact_name", "name_country", "address_token", "tfidf_ngram", "rare_token")
+# The flag column of each strategy.
 FLAGS = {
     "exact_name": "blocked_by_exact_name",
     "name_country": "blocked_by_name_country",

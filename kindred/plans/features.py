@@ -10,6 +10,7 @@ from ..functions.text import ngrams, numbers
 from ..operators.blocking import FLAGS, S, T
 from ..shipping import ensure_shipped
 
+# The names of the features, in the order in which models read them.
 FEATURES = (
     "f_name_exact", "f_name_core_exact", "f_name_fuzz_ratio", "f_name_partial_ratio", "f_name_token_sort_ratio", "f_name_token_set_ratio",
     "f_name_jaccard", "f_name_overlap", "f_name_len_diff", "f_name_len_ratio", "f_name_token_diff", "f_name_ngram_jaccard",

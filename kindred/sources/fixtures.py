@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 _FIRST = ("Apex", "Summit", "Clearwater", "Evergreen", "Pioneer", "Sterling", "Nova", "Blue Ridge", "Harbor", "Crescent", "Atlas", "Juniper", "Redwood", "Lakeside", "Beacon", "Orchid")
 _SECOND = ("Logistics", "Analytics", "Technologies", "Foods", "Solutions", "Systems", "Enterprises", "Services", "Holdings", "Manufacturing", "Engineering", "Group")
 _STREETS = ("Elm Street", "Oak Avenue", "Harbor Road", "Main Street", "Lake Drive", "Park Lane", "Mill Road", "Church Street", "Station Road", "Garden Avenue", "King Street", "Queen Street")
-_COUNTRIES = ("US", "GB", "DE", "FR", "IN", "AU", "JP", "CA", "SG", "NL")
-_SUFFIXES = {"US": "Inc.", "GB": "Ltd", "DE": "GmbH", "FR": "SARL", "IN": "Pvt Ltd", "AU": "Pty Ltd", "JP": "K.K.", "CA": "Corp.", "SG": "Pte Ltd", "NL": "B.V."}
+#: Countries with a legal form of each; a choice of this library's own.
+_SUFFIXES = {"US": "Inc.", "IE": "Ltd", "AT": "GmbH", "BE": "SA", "ZA": "Pty Ltd", "NZ": "Limited", "ES": "S.L.", "IT": "S.r.l.", "SE": "AB", "PL": "Sp. z o.o."}
+_COUNTRIES = tuple(_SUFFIXES)
 
 
 def _draw(seed: int, what: str, n: int, *keys: Column) -> Column:
