@@ -143,6 +143,9 @@ def test_large_bucket_keeps_its_small_groups(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 1)  # about one member a group
     monkeypatch.setattr(simhash, "ANCHORS", 0)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()} == want
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    monkeypatch.setattr(simhash, "MANY", 0)  # all that is left apart is split by segments
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(df).collect()} == want
 
 
 def test_sketch_estimates_jaccard():
