@@ -9,8 +9,7 @@ indicator steps at quantiles of the fitting sample.
 
 Fitting uses at most ``sample`` labelled rows, the first in the order of a
 hash of their id, and ``pairs`` preference pairs drawn from them with a fixed
-seed (parameters, by default ``SAMPLE`` and ``PAIRS``; the README has the
-measured loss). The threshold covers all data: strengths of all documents give
+seed (parameters, by default ``SAMPLE`` and ``PAIRS``). The threshold covers all data: strengths of all documents give
 a grid of score quantiles, all labelled training rows are counted between
 them, and the quantile with the best balanced accuracy becomes the threshold.
 Scores are the logistic of the strength, shifted so that the threshold has the

@@ -11,8 +11,7 @@ Fitting uses at most ``sample`` labelled rows, the first in the order of a
 hash of their id. Counts stay distributed: each task counts its own rows and
 the sums meet by n-gram. The regression takes the n-grams of a z value of at
 least ``least_z`` that ``least_docs`` rows of the sample hold, the ``most``
-most significant ones (parameters of the fit; the README has the measured
-loss against all of them). Scoring runs an Aho-Corasick automaton of the
+most significant ones (parameters of the fit). Scoring runs an Aho-Corasick automaton of the
 features over whole texts.
 
 Defined results: a null or empty text has no feature and the score of the
