@@ -261,3 +261,13 @@ def test_match_model_trains_with_the_preset(spark, monkeypatch):
     monkeypatch.setattr(queries.model, "train", lambda features, config, **override: seen.append(model.PRESETS[config.kind] | override))
     queries.QUERIES["er_match_model"](spark, SF)
     assert seen == [model.PRESETS["lightgbm"]]
+
+
+def test_parsed_truth_keeps_its_order(spark, tmp_path):
+    docs = [(k, t, "en") for k, t in ((21, "a b"), (22, "a b"), (23, "a b"), (33, "c"), (24, "d"), (31, "e"))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = queries.QUERIES["er_truth_parse"](spark, str(tmp_path)).toPandas()
+    assert "x,y,S2_22,S3_23" in set(got["matched_ids"])
+    same_rows(got, c.sql(queries.ORACLE_SQL["er_truth_parse"]).df())
