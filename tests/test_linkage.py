@@ -320,3 +320,24 @@ def test_candidates_of_groups(spark, monkeypatch):
     assert len(few) == 31
     twice = B.candidates(s1.unionByName(s1), tg)  # repeated ids are one record
     assert twice.count() == len({(r[B.S], r[B.T]) for r in twice.collect()})
+
+
+def test_first_pairs_by_hash(spark):
+    pairs = spark.range(3000).select(F.concat(F.lit("a"), "id").alias(B.S), F.lit("b").alias(B.T))
+    want = [r[0] for r in pairs.orderBy(F.xxhash64(B.S, B.T)).limit(700).collect()]
+    assert sorted(r[0] for r in model.first_pairs(pairs, 700).collect()) == sorted(want)
+    assert model.first_pairs(pairs, 3000).count() == 3000
+
+
+def test_queries_on_groups_equal_those_on_pairs(spark):
+    s1, tg = copies(spark)
+    found = B.linked(s1, tg)
+    pairs = B.candidates(s1, tg).withColumn("match_probability", F.col("num_blocks_hit") / 5.0)
+    rows = found.rows.withColumn("match_probability", F.col("num_blocks_hit") / 5.0)
+    truth = spark.createDataFrame([(f"S1_{i}", ["S2_1", f"S2_{i + 1}", "S2_lost"]) for i in range(0, 90, 3)] + [("S1_x", [])], TRUTH)
+    same_rows(E.label_groups(rows, truth, found.members).select(B.S, B.T, "label").toPandas(), E.label_pairs(pairs, truth).select(B.S, B.T, "label").toPandas())
+    same_rows(E.blocked_negatives_of_groups(rows, truth, found.members).select(B.S, B.T).toPandas(), E.blocked_negatives(E.label_pairs(pairs, truth)).select(B.S, B.T).toPandas())
+    same_rows(E.threshold_sweep(rows, truth, members=found.members).toPandas(), E.threshold_sweep(pairs, truth).toPandas())
+    same_rows(E.blocking_recall(rows, truth, members=found.members).toPandas(), E.blocking_recall(pairs, truth).toPandas())
+    wrong = E.errors(E.predictions(pairs, s1, 0.7), truth, pairs)
+    same_rows(E.errors_of_groups(rows, truth, rows, found.members, 0.7).toPandas(), wrong.toPandas())
