@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -341,3 +342,33 @@ def test_queries_on_groups_equal_those_on_pairs(spark):
     same_rows(E.blocking_recall(rows, truth, members=found.members).toPandas(), E.blocking_recall(pairs, truth).toPandas())
     wrong = E.errors(E.predictions(pairs, s1, 0.7), truth, pairs)
     same_rows(E.errors_of_groups(rows, truth, rows, found.members, 0.7).toPandas(), wrong.toPandas())
+
+
+def test_truth_given_to_the_blocks_marks_rows(spark, monkeypatch):
+    """Counts, labels and errors come from the rows as they are, which the truth marks, without a join of pairs."""
+    s1, tg = copies(spark)
+    truth = spark.createDataFrame([(f"S1_{i}", ["S2_1", f"S2_{i + 1}", "S2_lost", "S2_1"]) for i in range(0, 90, 3)] + [("S1_x", ["S2_x", "S2_40"])], TRUTH)
+    pairs = B.candidates(s1, tg).withColumn("match_probability", F.col("num_blocks_hit") / 5.0)
+    labeled, over = E.label_pairs(pairs, truth), F.col("match_probability") >= 0.7
+    found = B.linked(s1, tg, truth=truth)
+    rows, members = found.rows.withColumn("match_probability", F.col("num_blocks_hit") / 5.0), found.members
+    monkeypatch.setattr(E, "true_of_groups", None)
+    assert rows.count() * 3 < pairs.count()
+    assert E.class_weight_of_groups(rows, truth, members) == E.class_weight(labeled)
+    same_rows(E.label_groups(rows, truth, members).select(B.S, B.T, "label").toPandas(), labeled.select(B.S, B.T, "label").toPandas())
+    same_rows(E.blocked_negatives_of_groups(rows, truth, members).select(B.S, B.T).toPandas(), E.blocked_negatives(labeled).select(B.S, B.T).toPandas())
+    same_rows(E.pair_scores(rows.filter(over), truth, members).toPandas(), E.pair_scores(pairs.filter(over), truth).toPandas())
+    same_rows(E.macro_scores(rows.filter(over), truth, members).toPandas(), E.macro_scores(pairs.filter(over), truth).toPandas())
+    same_rows(E.threshold_sweep(rows, truth, members=members).toPandas(), E.threshold_sweep(pairs, truth).toPandas())
+    same_rows(E.errors_of_groups(rows, truth, rows, members, 0.7).toPandas(), E.errors(E.predictions(pairs, s1, 0.7), truth, pairs).toPandas())
+    twice = B.linked(s1.unionByName(s1), tg, truth=truth)  # repeated ids are one record
+    assert E.class_weight_of_groups(twice.rows, truth, twice.members) == E.class_weight(E.label_pairs(B.candidates(s1.unionByName(s1), tg), truth))
+
+
+def test_records_take_the_heads_of_texts(spark, tmp_path):
+    texts = [None, "", " \t\n", "a", "\n a\tb\r\nc ", " ".join(f"w{i}" for i in range(30)), "x" * 5000 + "\u2003y z" * 20, "\u00a0p q"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {int(r["entity_id"].split("_")[1]): (r["business_name"], r["business_address"]) for r in queries.bridge(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        words = [w for w in re.split(r"[ \t\n\r]+", t or "") if w]
+        assert got[i] == (" ".join(words[:4]), " ".join(words[4:12]))
