@@ -14,8 +14,9 @@ A cut-off rest stays in the pool. When nothing unused matches, the next unused
 tail follows, so every token is packed. What is left at a shard's end goes
 into sequences of a power of two, which need no padding.
 
-The stop words are those that over ``STOP_SHARE`` of at most ``STOP_SAMPLE``
-documents hold; they decide on the routing alone, never on what is packed.
+Each tail carries its ``LEAST`` least word hashes. Those that over
+``STOP_SHARE`` of all tails carry are stop words, counted over all of them;
+they decide on the routing alone, never on what is packed.
 
 Tokens are those of the public byte-level BPE vocabulary. Text is split at
 spaces, where the vocabulary's pattern splits as well unless white space
@@ -46,8 +47,8 @@ WINDOW = 1024
 END = 0
 #: Tail tokens of one shard at most, give or take a key; half as many as a rule.
 SHARD_TOKENS = 1_500_000
-#: Documents from which the stop words of the routing come, and their least share of these.
-STOP_SAMPLE, STOP_SHARE = 2000, 0.02
+#: Word hashes that a tail carries at most for its routing, and the share of all tails over which one of them is a stop word.
+LEAST, STOP_SHARE = 12, 0.02
 K1, B = 1.2, 0.75
 _CACHE = 600_000
 _SPACE = re.compile(r" (?:\s|\Z)")
@@ -157,45 +158,27 @@ def word_codes(documents: list[np.ndarray], opens: np.ndarray) -> tuple[np.ndarr
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def stop_words(docs: DataFrame, text_col: str, vocabulary: str) -> np.ndarray:
-    """Codes of the words that too many documents hold to tell them apart, from a bounded sample."""
-    n = docs.count()
-    sample = docs.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(max(1, n // STOP_SAMPLE))) == 0).limit(STOP_SAMPLE)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.of(vocabulary)
-        for pdf in sub_batches(batches, text_sizes, 4 << 20):
-            ids = encoder.encode([t if t is not None else "" for t in pdf["text"]])
-            codes, sizes = word_codes([np.frombuffer(x, dtype="<u2") for x in ids], encoder.opens)
-            codes, found = np.unique(np.concatenate([np.unique(c) for c in np.split(codes, np.cumsum(sizes)[:-1])]), return_counts=True)
-            yield pd.DataFrame({"code": codes.view(np.int64), "n": found})
-
-    counts = map_pandas(sample, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    # At most (words of a document) / STOP_SHARE rows.
-    rows = counts.filter(F.col("n") > STOP_SHARE * min(n, STOP_SAMPLE)).select("code").collect()
-    return np.sort(np.array([r["code"] for r in rows], dtype=np.int64).view(np.uint64))
-
-
-def lexical_keys(documents: list[np.ndarray], opens: np.ndarray, stops: np.ndarray) -> list[int | None]:
-    """The least code of each document but for stop words; of these if there are no others, and none without words."""
+def least_codes(documents: list[np.ndarray], opens: np.ndarray, most: int = LEAST) -> list[np.ndarray]:
+    """The least distinct codes of each document in order: its least one, and up to ``most`` of those that are small for its number of words."""
     codes, sizes = word_codes(documents, opens)
     if not len(codes):
-        return [None] * len(documents)
-    some = np.flatnonzero(sizes)
-    first = (np.cumsum(sizes) - sizes)[some]
-    top = np.uint64(2**64 - 1)
-    own = codes if not len(stops) else np.where(stops[np.minimum(np.searchsorted(stops, codes), len(stops) - 1)] == codes, top, codes)
-    least = np.minimum.reduceat(own, first)
-    least = np.where(least == top, np.minimum.reduceat(codes, first), least)
-    out: list[int | None] = [None] * len(documents)
-    for k, key in zip(some.tolist(), least.view(np.int64).tolist(), strict=True):
-        out[k] = key
-    return out
+        return [codes] * len(documents)
+    some, of = np.flatnonzero(sizes), np.repeat(np.arange(len(documents)), sizes)
+    least = np.zeros(len(documents), dtype=np.uint64)
+    least[some] = np.minimum.reduceat(codes, (np.cumsum(sizes) - sizes)[some])
+    # Only these few are sorted. Codes of single tokens are below 2^63, and some repeat.
+    limit = np.maximum(least, (2.0**63 * np.minimum(1.0, 3.0 * most / np.maximum(sizes, 1))).astype(np.uint64))
+    at = np.flatnonzero(codes <= limit[of])
+    at = at[np.lexsort((codes[at], of[at]))]
+    code, doc = codes[at], of[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+    code, ends = code[new], np.cumsum(np.bincount(doc[new], minlength=len(documents)))
+    return [code[a : min(b, a + most)] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, window: int, vocabulary: str) -> DataFrame:
-    """Whole-window pieces (``ids`` null) and one tail per document (``ids`` set) with its lexical key and a running number."""
-    stops = stop_words(docs, text_col, vocabulary)
+    """Whole-window pieces (``ids`` null) and one tail per document (``ids`` set) with its least word codes and a running number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, number = Encoder.of(vocabulary), 0
@@ -203,21 +186,21 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, window: int, vocabula
             rows = []
             texts = [t if t is not None else "" for t in pdf["text"]]
             coded = [np.frombuffer(raw, dtype="<u2") for raw in encoder.encode(texts)]
-            keys = lexical_keys([x[(len(x) + 1) // window * window :] for x in coded], encoder.opens, stops)
-            for doc, x, key in zip(pdf["doc_id"], coded, keys, strict=True):
+            least = least_codes([x[(len(x) + 1) // window * window :] for x in coded], encoder.opens)
+            for doc, x, codes in zip(pdf["doc_id"], coded, least, strict=True):
                 doc = None if pd.isna(doc) else int(doc)
                 ids = np.append(x, np.uint16(END))
                 n = len(ids)
                 whole = n - n % window
                 rows += [(doc, i, window, crc_of(ids[i : i + window]), n, None, None, None) for i in range(0, whole, window)]
                 if n > whole:
-                    rows.append((doc, whole, n - whole, None, n, ids[whole:].astype("<u2").tobytes(), key, number))
+                    rows.append((doc, whole, n - whole, None, n, ids[whole:].astype("<u2").tobytes(), codes.view(np.int64), number))
                     number += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "key", "number"])
-            yield out.astype({"doc_id": "Int64", "ids_crc32": "Int64", "key": "Int64", "number": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "codes", "number"])
+            yield out.astype({"doc_id": "Int64", "ids_crc32": "Int64", "number": "Int64"})
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_pandas(plain, run, f"{_PIECE}, ids binary, key long, number long")
+    return map_pandas(plain, run, f"{_PIECE}, ids binary, codes array<long>, number long")
 
 
 class Bm25:
@@ -337,11 +320,22 @@ def powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
         yield out
 
 
+def lexical_keys(tails: DataFrame, number: int) -> DataFrame:
+    """Tails with ``key``: the least of their codes that at most ``STOP_SHARE`` of all tails carry, else a hash of the two that the fewest carry; a hash of its own for a tail without words."""
+    counts = tails.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    # At most LEAST / STOP_SHARE rows.
+    stops = sorted((r["n"], r["code"]) for r in counts.filter(F.col("n") > STOP_SHARE * number).collect())
+    common = F.array(*(F.lit(c) for _, c in stops)).cast("array<long>")  # the rarest first
+    own = F.get(F.array_except("codes", common), F.lit(0))
+    two = F.when(F.size("codes") > 0, F.xxhash64(F.slice(F.array_intersect(common, F.col("codes")), 1, 2)))
+    return tails.withColumn("key", F.coalesce(own, two, F.xxhash64("doc_id", "number")))
+
+
 def dealt(tails: DataFrame, shard_tokens: int) -> DataFrame:
     """Tails with ``shard``: by lexical key; those of a key that fills half a shard or more get shards of their own, by the running number."""
-    total = tails.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, round(2 * total / shard_tokens))
-    keyed = tails.withColumn("key", F.coalesce("key", F.xxhash64("doc_id", "number")))
+    r = tails.agg(F.sum("length").alias("total"), F.count("codes").alias("n")).first()
+    shards = max(1, round(2 * (r["total"] or 0) / shard_tokens))
+    keyed = lexical_keys(tails, r["n"])
     # One row per hot key; there are at most as many as shards.
     hot = keyed.groupBy("key").agg(F.sum("length").alias("n")).filter(F.col("n") > shard_tokens / 2)
     hot = hot.select("key", F.ceil(2 * F.col("n") / F.lit(shard_tokens)).alias("splits"))

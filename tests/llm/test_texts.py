@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import math
 import random
@@ -184,6 +185,24 @@ def test_lexical_routing_brings_copies_together(spark):
     assert len(shards) >= 6 and max(r["count"] for r in shards) < 100
 
 
+def test_stop_words_are_counted_over_all_tails(spark):
+    """Tails carry their least word codes; the key is the least one that few of all tails carry."""
+    rng = random.Random(9)
+    texts = [" ".join(["the", "of", *(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40))), "and"]) for _ in range(400)] + ["the of and", "", "w1"]
+    encoder = packing.Encoder.of(packing.default_vocabulary())
+    ids = [np.frombuffer(x, dtype="<u2") for x in encoder.encode(texts)]
+    words = [sorted(set(packing.word_codes([d], encoder.opens)[0].tolist())) for d in ids]
+    for got, own in zip(packing.least_codes(ids, encoder.opens), words, strict=True):
+        assert got.tolist() == own[: len(got)] and len(got) >= min(1, len(own))
+    tails = packing.tokenised(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS), "doc_id", "text", 1024, packing.default_vocabulary())
+    signed = lambda c: c - 2**64 if c >= 2**63 else c
+    carried = [[signed(c) for c in got.tolist()] for got in packing.least_codes(ids, encoder.opens)]
+    count = collections.Counter(c for x in carried for c in x)
+    few = lambda x: next((c for c in x if count[c] <= packing.STOP_SHARE * len(texts)), None)
+    keys = {r["doc_id"]: r["key"] for r in packing.lexical_keys(tails, len(texts)).collect()}
+    assert max(count.values()) > 100 and all(keys[i] == few(x) for i, x in enumerate(carried) if few(x) is not None) and None not in keys.values()
+
+
 # --- licences ----------------------------------------------------------------
 
 
