@@ -34,10 +34,11 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,38 +98,61 @@ class Encoder:
         if len(self.cache) > _CACHE:
             self.cache.clear()
         # Most texts have no space before white space, which is quick to see; others are encoded whole.
-        parts = [None if _SPACE.search(t) and _RUN.search(t) else t.split(" ") for t in texts]
-        chunks: set[str] = set()
-        for p in parts:
-            if p:
-                chunks.update(p)
-        self._learn(list(chunks.difference(self.cache)))
-        out, get = [], self.cache.get
-        for text, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(self._flat(text).tobytes())
-            else:
-                out.append((self._flat(p[0]).tobytes() if p[0] else b"") + b"".join(map(get, islice(p, 1, None))))
-        return out
+        whole = [bool(_SPACE.search(t) and _RUN.search(t)) for t in texts]
+        split = [t for t, w in zip(texts, whole, strict=True) if not w]
+        found = iter(self._split(split) if split else ())
+        return [self._flat(t).tobytes() if w else next(found) for t, w in zip(texts, whole, strict=True)]
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by their chunks. Arrow splits and numbers them, so that only distinct ones are looked up."""
+        parts = pc.split_pattern(pa.array([_valid(t) for t in texts], pa.large_string()), " ")
+        ends = parts.offsets.to_numpy()[1:].astype(np.int64)
+        begin = np.concatenate([[0], ends[:-1]])
+        coded = parts.values.dictionary_encode()
+        chunks, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        # What stands before a text's first space has no space in front of it.
+        inner = np.ones(len(code), dtype=bool)
+        inner[begin] = False
+        asked = np.bincount(code[inner], minlength=len(chunks)) > 0
+        have = self.cache
+        self._learn([c for c, a in zip(chunks, asked.tolist(), strict=True) if a and c not in have])
+        ids = [have[c] if a else b"" for c, a in zip(chunks, asked.tolist(), strict=True)]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 2
+        first, n = np.cumsum(size) - size, np.where(inner, size[code], 0)
+        to = np.cumsum(n)
+        place = np.repeat(first[code] - (to - n), n) + np.arange(to[-1])
+        raw = np.frombuffer(b"".join(ids), dtype="<u2")[place].tobytes()
+        heads = [chunks[k] for k in code[begin].tolist()]
+        spans = zip(heads, (2 * (to - n)[begin]).tolist(), (2 * to[ends - 1]).tolist(), strict=True)
+        return [(self._flat(h).tobytes() if h else b"") + raw[a:b] for h, a, b in spans]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks in one run each of those with no white space at their ends.
+        """Encodes distinct chunks in one run each of those with no white space at their ends.
 
         Between two of them the pattern always splits, so the ids of the
         joined text are theirs one after the other.
         """
-        joined = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
+        joined = [c for c in chunks if c and c.strip() == c]
         for i in range(0, len(joined), 20_000):
             part = joined[i : i + 20_000]
-            ids = self.bpe.encode_to_numpy(" " + " ".join(part), disallowed_special=()).astype("<u2")
-            ends = np.cumsum([1 + (len(c) if c.isascii() else len(c.encode("utf-8", "replace"))) for c in part])
-            cut = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            raw, at = ids.tobytes(), 0
-            for c, to in zip(part, cut.tolist(), strict=True):
-                self.cache[c] = raw[2 * at : 2 * to]
-                at = to
-        for c in set(chunks).difference(joined):
-            self.cache[c] = self._flat(" " + c).tobytes()
+            text = " " + " ".join(part)
+            ids = self.bpe.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+            ends = np.cumsum([1 + n for n in map(len, part)] if text.isascii() else [1 + (len(c) if c.isascii() else len(c.encode("utf-8"))) for c in part])
+            cut = (2 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            self.cache.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=True))
+        if len(joined) < len(chunks):
+            for c in set(chunks).difference(joined):
+                self.cache[c] = self._flat(" " + c).tobytes()
+
+
+def _valid(text: str) -> str:
+    """The text with lone surrogates replaced, as the vocabulary's encoder does."""
+    try:
+        text.encode("utf-8")
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
 
 
 def crc_of(ids: np.ndarray) -> int:
