@@ -51,7 +51,7 @@ SHARD_TOKENS = 1_500_000
 #: Word hashes that a tail carries at most for its routing, and the share of all tails over which one of them is a stop word.
 LEAST, STOP_SHARE = 12, 0.02
 K1, B = 1.2, 0.75
-_CACHE = 600_000
+_CACHE = 200_000
 _SPACE = re.compile(r" (?:\s|\Z)")
 _RUN = re.compile(r"\s (?:\s|\Z)")
 
@@ -90,6 +90,11 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def forget(self) -> None:
+        """Gives the cache's memory back."""
+        self.cache = {}
+        pa.default_memory_pool().release_unused()
+
     def _flat(self, text: str) -> np.ndarray:
         return np.array(self.bpe.encode_ordinary(text), dtype="<u2")
 
@@ -222,6 +227,8 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, window: int, vocabula
                     number += 1
             out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "codes", "number"])
             yield out.astype({"doc_id": "Int64", "ids_crc32": "Int64", "number": "Int64"})
+        # Spark keeps the worker for other stages, which need the memory.
+        Encoder.of(vocabulary).forget()
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return map_pandas(plain, run, f"{_PIECE}, ids binary, codes array<long>, number long")

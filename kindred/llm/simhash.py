@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_pandas, map_pandas, space_words, written
+from .common import group_pandas, map_pandas, space_words, sub_batches, text_sizes, written
 from .components import connected_components
 
 SEED = 42
@@ -275,7 +275,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     """doc_id, digest and number n of the distinct shingles, sketch and bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sub_batches(batches, text_sizes):
             rows = []
             for t in pdf["text"]:
                 u = np.unique(shingle_hashes(t, size))

@@ -20,3 +20,12 @@ def test_a_lone_surrogate_among_texts_is_encoded():
     encoder = packing.Encoder.of(packing.default_vocabulary())
     texts = ["one two", "odd \ud800x three", "\udfff"]
     assert encoder.encode(texts) == [np.array(encoder.bpe.encode_ordinary(t), dtype="<u2").tobytes() for t in texts]
+
+
+def test_an_encoder_that_forgot_its_chunks_gives_the_same_ids():
+    encoder = packing.Encoder.of(packing.default_vocabulary())
+    before = encoder.encode(["one two three", "two  three"])
+    assert encoder.cache
+    encoder.forget()
+    assert not encoder.cache
+    assert encoder.encode(["one two three", "two  three"]) == before
