@@ -140,3 +140,15 @@ def test_partial_ratio_is_the_best_window():
         letters = rng.choice(["ab", "abc ", "abcdefgh é"])
         pairs.append(tuple("".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice([3, 12, 40])))) for _ in range(2)))
     assert similarity.partial_ratios(pairs) == pytest.approx([brute(*p) for p in pairs], abs=1e-12)
+
+
+def test_ratios_by_table_equal_those_by_pair():
+    rng = random.Random(7)
+    data = [("", ""), ("", "a"), ("é", "e"), ("a" * 64, "a" * 63 + "b"), ("x" * 65, "x" * 64), ("a b c d e f g h i j k l m", "m l"), ("a\tb", "b a"), ("a b", "a b")]
+    for _ in range(3000):
+        letters = rng.choice(["ab ", "abcdefgh  ", " \ta"])
+        data.append(tuple("".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice([3, 12, 40, 70])))) for _ in range(2)))
+    got = similarity.four_ratios([a for a, _ in data], [b for _, b in data])
+    for k, f in enumerate((similarity.ratios, similarity.partial_ratios, similarity.token_sort_ratios, similarity.token_set_ratios)):
+        assert got[:, k].tolist() == f(data).tolist()
+    assert similarity.four_ratios([], []).shape == (0, 4)
