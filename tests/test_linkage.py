@@ -419,3 +419,26 @@ def test_matching_results_file_shuffles_no_pairs(spark, oracle, monkeypatch):
     monkeypatch.setattr(service, "validation_reply", lambda m, c, *a, **k: seen.append((m, c)) or reply(m, c, *a, **k))
     same_rows(queries.er_matching_results_file(spark, SF).toPandas(), oracle.sql(queries.ORACLE_SQL["er_matching_results_file"]).df())
     assert dict(seen[0][1].dtypes)["candidate_entity_id"] == "array<string>" and all(f.endswith(".gz") for f in seen[0][0].inputFiles())
+
+
+def test_replies_without_details_compute_no_edit_ratios(spark, business):
+    _, tg = business
+    q = spark.createDataFrame([("Q1", "Acme Technologies Inc", "12 Elmwood Street", "US"), ("Q2", "Totally Unique Nothing", "Mars Colony", "US"), ("Q3", "Acme Technologies Inc", "12 Elmwood Street", "US")], RECORD)
+    whole, brief = (resolve.resolve(q, tg, model.deterministic_score, 0.2, details=d) for d in (True, False))
+    assert brief.columns == [c for c in whole.columns if c != "matches"]
+    assert sorted(map(tuple, brief.collect())) == sorted(map(tuple, whole.drop("matches").collect()))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "edit_ratios" in plan(whole) and "edit_ratios" not in plan(brief)
+
+
+def test_entries_are_those_of_the_replies(spark, business):
+    _, tg = business
+    tg = tg.withColumn("source", F.substring("entity_id", 1, 2))
+    q = spark.createDataFrame([("Q1", "Acme Technologies Inc", "12 Elmwood Street", "US"), ("Q2", "Totally Unique Nothing", "Mars Colony", "US"), ("Q3", "Acme Technologies Inc", "12 Elmwood Street", "US")], RECORD)
+    for rows in (tg, tg.unionByName(tg.limit(1).withColumn("entity_id", F.lit(None).cast("string")))):  # null ids take the other way
+        want = []
+        for r in resolve.resolve(q, rows, model.deterministic_score, 0.2).collect():
+            for place, m in enumerate(r["matches"] or []):
+                own = (r[B.S], r["threshold_applied"], place, m[B.T], *(m[c] for c in resolve.SHOWN), m["match_probability"], m["is_match"], m["num_blocks_hit"])
+                want.append((*own, *(m["blocking_signals"][n] for n in B.FLAGS), *(m["similarity_summary"][n] for n in resolve.SUMMARY)))
+        assert len(want) >= 6 and sorted(map(tuple, resolve.entries(q, rows, model.deterministic_score, 0.2).collect())) == sorted(want)
