@@ -13,7 +13,7 @@ from kindred.functions.text import normalized
 from kindred.operators import blocking as B
 from kindred.plans import evaluation as E
 from kindred.plans import features as X
-from kindred.plans import model, profiling, resolve, service, validation
+from kindred.plans import boosting, model, profiling, resolve, service, validation
 from kindred.sources import records
 
 from .conftest import SF, same_rows
@@ -442,3 +442,36 @@ def test_entries_are_those_of_the_replies(spark, business):
                 own = (r[B.S], r["threshold_applied"], place, m[B.T], *(m[c] for c in resolve.SHOWN), m["match_probability"], m["is_match"], m["num_blocks_hit"])
                 want.append((*own, *(m["blocking_signals"][n] for n in B.FLAGS), *(m["similarity_summary"][n] for n in resolve.SUMMARY)))
         assert len(want) >= 6 and sorted(map(tuple, resolve.entries(q, rows, model.deterministic_score, 0.2).collect())) == sorted(want)
+
+
+def test_training_takes_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((600, len(X.FEATURES))), 1)
+    y = ((x[:, 0] + x[:, 5] > 1) ^ (rng.random(600) < 0.1)).astype(int)
+    n = rng.integers(1, 4, 600)
+    schema = f"label int, pairs int, {', '.join(f + ' double' for f in X.FEATURES)}"
+    df = spark.createDataFrame([(int(b), int(c), *map(float, a)) for a, b, c in zip(x, y, n, strict=True)], schema)
+    got = model.train(df, maxIter=6, subsamplingRate=1.0, featureSubsetStrategy="all")
+    every, labels = np.repeat(x, n, axis=0), np.repeat(y, n)
+    weight = max(1.0, 0.8 * (labels == 0).sum() / labels.sum())
+    p = model.PRESETS["lightgbm"]
+    want = boosting.fit(every, labels, np.where(labels == 1, weight, 1.0), 6, p["stepSize"], p["maxDepth"], p["leaves"], p["minInstancesPerNode"], 1.0, 1.0, p["ridge"], 42)
+    assert got.probability(x) == pytest.approx(want.probability(x), abs=1e-9)
+    again = model.train(df.repartition(3), maxIter=3)
+    assert (again.probability(x) == model.train(df, maxIter=3).probability(x)).all()
+
+
+def test_match_model_gives_the_fit_every_labelled_pair(spark, monkeypatch):
+    seen = {}
+
+    def train(features, config, **override):
+        seen.update({r["label"]: r["n"] for r in features.groupBy("label").agg(F.sum("pairs").alias("n")).collect()})
+
+    monkeypatch.setattr(queries.model, "train", train)
+    queries.QUERIES["er_match_model"](spark, SF)
+    s1, tg = queries.sources(spark, SF)
+    true = queries.truth(spark, SF)
+    fit = E.only(s1, E.entity_split(s1).filter("not is_validation"))
+    known = E.label_pairs(B.candidates(fit, tg), true)
+    drawn = E.random_negatives(fit, tg, true).join(known.select(B.S, B.T), [B.S, B.T], "left_anti")
+    assert seen == {r["label"]: r["n"] for r in known.select("label").unionByName(drawn.select("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
